@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from grove.llm import exact_dedup
+from grove.llm import exact_dedup, near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.QUERY_SQL}
+    return {"op1_exact_dedup": exact_dedup.QUERY_SQL, "op6_near_dedup": near_dedup.QUERY_SQL}
