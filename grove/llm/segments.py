@@ -25,7 +25,7 @@ class SegmentEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list], dtype):
         self.encode, self.dtype = encode, np.dtype(dtype)
-        self.known: dict[str, bytes] = {}  # a piece after a space has its key without it; a text's first has a space before it
+        self.known: dict = {}  # a piece after a space has its key without it; a text's first has a space before it
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -43,7 +43,12 @@ class SegmentEncoder:
             closed = not word or word[-1].isspace()
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def values(self, ids: list) -> list:
+        """What is remembered of id sequences."""
+        return [np.asarray(x, self.dtype).tobytes() for x in ids]
+
+    def rows(self, texts: list[str]) -> list[list]:
+        """For each text, the values of its segments in order."""
         get = self.known.get
         cut = [self.keys(x) for x in texts]
         found = [list(map(get, x)) for x in cut]
@@ -54,8 +59,7 @@ class SegmentEncoder:
             for at in range(0, len(missing), 20_000):
                 part = missing[at : at + 20_000]
                 ids = self.encode([x[1:] if x[0:1] == " " else " " + x for x in part])
-                for key, x in zip(part, ids, strict=True):
-                    fresh[key] = np.asarray(x, self.dtype).tobytes()
+                fresh.update(zip(part, self.values(ids), strict=True))
             for keys, row, at in zip(cut, found, holes, strict=True):
                 for i in at:
                     row[i] = fresh[keys[i]]
@@ -63,4 +67,7 @@ class SegmentEncoder:
                 self.known.clear()
             if len(fresh) <= self.LIMIT:
                 self.known.update(fresh)
-        return [b"".join(row) for row in found]
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(row) for row in self.rows(texts)]
