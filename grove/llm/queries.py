@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from grove.llm import bpe, exact_dedup, near_dedup, token_store
+from grove.llm import bpe, exact_dedup, near_dedup, token_store, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe": bpe.op9_bpe,
         "op10_token_store": token_store.op10_token_store,
     }
