@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grove.llm import bpe, exact_dedup, near_dedup, token_store, toxicity
+from grove.llm import bpe, exact_dedup, near_dedup, token_store, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op5_warc": warc.op5_warc,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe": bpe.op9_bpe,
