@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,7 +121,7 @@ def probe(index: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
 def _search(codes: Codes, k: int):
     def run(table: pa.Table) -> pa.Table:
         asked = table.filter(table["asks"])
-        there = table.filter(pa.compute.invert(table["asks"]))
+        there = table.filter(pc.invert(table["asks"]))
         out: tuple[list, list, list] = ([], [], [])
         if len(asked) and len(there):
             matrix = lambda t: np.stack([x.values.to_numpy() for x in t["embedding"].combine_chunks()]) if len(t) else None
