@@ -19,8 +19,10 @@ Stages, each cut by a written table:
    a candidate only beyond six standard errors; the rest is verified on the
    full sets.
 5. Components of the verified links. Bands whose members still lie in
-   different components are resolved exactly: blocks of their members are
-   compared with those of other components, until each pair has had its turn.
+   different components are resolved exactly: the documents outside a family's
+   largest component meet all members of their bands in blocks of bounded
+   size, where an inverted index of the block's sets counts what they share.
+   A block returns at most the links that join its components.
 
 Defined results: null, empty and blank texts have no shingles, are linked
 with nothing and are kept. Texts of one to four words are one shingle. Rows
@@ -35,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from grove.llm.graph import connected_components
@@ -166,8 +167,48 @@ def _verified(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, pairs_a_round: int = 20_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def _across(percent: int):
+    """Links between components within a block: pivots against visitors, exactly, by an inverted index of the pivots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pivot = table["pivot"].to_numpy(zero_copy_only=False)
+        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        asking = np.flatnonzero(pivot)
+        sizes = np.array([len(sets[i]) for i in asking], np.int64)
+        hashes = np.concatenate([*(sets[i] for i in asking), np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(asking)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := joined.get(x, x)) != x:
+                joined[x] = joined.get(y, y)
+                x = y
+            return x
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for i in np.flatnonzero(~pivot) if len(hashes) else ():
+            first, last = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+            counts = last - first
+            at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            common = np.bincount(owner[at], minlength=len(asking))
+            for k in np.flatnonzero((100 * common >= percent * (sizes + len(sets[i]) - common)) & (component[asking] != component[i])):
+                x, y = root(int(component[i])), root(int(component[asking[k]]))
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    out[0].append(int(ids[i])), out[1].append(int(ids[asking[k]]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, pivots: int = 512, visitors: int = 4096) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    ``pivots`` and ``visitors`` bound the sets that one task of the last step holds.
+    """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.write(
@@ -203,27 +244,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, pairs_a_round: int = 20_
     component = scratch.write(connected_components(found, scratch), "component")
 
     # What the first links leave apart within a band is compared across components.
-    labelled = members.join(component, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = scratch.write(
-        labelled.join(apart, "key").withColumn(
-            "turn", F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        ),
-        "open",
-    )
-    total, most = open_.agg(F.count(F.lit(1)), F.max("turn")).first()
-    if total:
-        step = max(16, pairs_a_round // total)
-        more = []
-        for at in range(2, most + 1, step):  # the first in turn is the minimum, which has had its pairs
-            pivots = open_.filter(F.col("turn").between(at, at + step - 1)).select("key", F.col("id").alias("a"), F.col("component").alias("c"))
-            pairs = pivots.join(open_, "key").filter("a < id and c <> component").select("a", F.col("id").alias("b")).distinct()
-            more.append(links(pairs, f"turn-{at}"))
-        extra = more[0]
-        for x in more[1:]:
-            extra = extra.unionByName(x)
-        if extra.limit(1).count():
-            component = scratch.write(connected_components(found.unionByName(extra), scratch, "again"), "component-again")
+    labelled = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lo")).filter("x < y")
+    open_ = scratch.write(labelled.join(apart.select("key", "lo"), "key"), "open")
+    if open_.limit(1).count():
+        family = connected_components(open_.select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), scratch, "families")
+        nodes = scratch.write(
+            open_.select("id", "component").distinct().join(family.select("id", F.col("component").alias("family")), "id"), "nodes"
+        )
+        each = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+        whole = each.groupBy("family").agg(F.max_by("component", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("n"))
+        blocks = F.greatest(F.ceil(F.col("rest") / pivots), F.lit(1))
+        dealt = nodes.join(whole, "family").select(
+            "id",
+            "component",
+            (F.col("component") != F.col("main")).alias("pivot"),
+            F.xxhash64("family", F.pmod(F.xxhash64("id"), blocks)).alias("block"),
+            F.greatest(F.ceil(F.col("n") / visitors), F.lit(1)).alias("parts"),
+        )
+        dealt = scratch.write(dealt, "dealt")
+        asking = dealt.filter("pivot")
+        wanted = open_.select("key", "id").join(asking.select("id", "block", "parts"), "id").select("key", "block", "parts").distinct()
+        visits = open_.select("key", "id", "component").join(wanted, "key").select("block", "id", "component", "parts").distinct()
+        rows = visits.select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part"), "id", "component", F.lit(False).alias("pivot"))
+        rows = rows.unionByName(
+            asking.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "component", F.lit(True).alias("pivot"))
+        )
+        more = rows.join(sets, "id").groupBy("block", "part").applyInArrow(_across(percent), "a long, b long")
+        more = scratch.write(more, "links-across")
+        if more.limit(1).count():
+            component = scratch.write(connected_components(found.unionByName(more), scratch, "again"), "component-again")
 
     named = classes.select("set_key", "id").join(component, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
