@@ -94,15 +94,16 @@ class DuckBpe:
         word, tok = out["word"].to_numpy(), out["tok"].to_numpy()
         return np.split(tok, np.searchsorted(word, np.arange(1, len(words))))
 
-    def encode(self, segments: list[str]) -> list[np.ndarray]:
-        """Ids of each segment."""
-        ranks, cut = self.ranks, [[x.encode() for x in self.pattern.findall(s)] for s in segments]
-        new = list({x for row in cut for x in row if x not in ranks})
-        found: dict[bytes, np.ndarray] = {}
-        for at in range(0, len(new), 20_000):
-            found.update(zip(new[at : at + 20_000], self.words(new[at : at + 20_000]), strict=True))
-        one = {x: np.array([ranks[x]], np.int32) for row in cut for x in row if x in ranks}
-        return [np.concatenate([one[x] if x in one else found[x] for x in row]) if row else np.empty(0, np.int32) for row in cut]
+    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings; one that is a token is that token."""
+        ranks = self.ranks
+        found = [np.array([ranks[x]], np.int32) if x in ranks else None for x in words]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for i, ids in zip(some, self.words([words[i] for i in some]), strict=True):
+                found[i] = ids
+        return found
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each id sequence."""
@@ -118,16 +119,34 @@ class DuckBpe:
 
 
 class _RoundTrip(SegmentEncoder):
-    """Remembers the ids of a segment and the bytes that those ids decode to."""
+    """Remembers the ids of a segment, or of a match, and the bytes that those ids decode to."""
 
-    LIMIT = 800_000
+    MARKS = frozenset(",.;:!?")
 
     def __init__(self, bpe: DuckBpe):
-        super().__init__(bpe.encode, "<u4")
+        super().__init__(self._segments)
         self.bpe = bpe
-
-    def values(self, ids: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-        return list(zip((x.astype("<u4").tobytes() for x in ids), self.bpe.decode(ids), strict=True))
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+
+    def matches(self, segment: str) -> list[str]:
+        """The pattern's matches; letters after a space, and one mark after letters, need no search."""
+        if segment[:1] == " ":
+            if segment[1:].isalpha():
+                return [segment]
+            if segment[-1] in self.MARKS and segment[1:-1].isalpha():
+                return [segment[:-1], segment[-1]]
+        return self.bpe.pattern.findall(segment)
+
+    def _segments(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
+        cut = [self.matches(s) for s in segments]
+        new = list(set().union(*cut).difference(self.words))
+        if len(self.words) + len(new) > self.LIMIT:
+            self.words.clear()
+            new = list(set().union(*cut))
+        ids = self.bpe.encode([x.encode() for x in new])
+        self.words.update(zip(new, zip((x.astype("<u4").tobytes() for x in ids), self.bpe.decode(ids), strict=True), strict=True))
+        words = self.words
+        return [words[x[0]] if len(x) == 1 else (b"".join([words[y][0] for y in x]), b"".join([words[y][1] for y in x])) for x in cut]
 
 
 _bpes: dict[tuple[str, str], _RoundTrip] = {}

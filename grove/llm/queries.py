@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grove.llm import ann, bpe, exact_dedup, lm, near_dedup, token_store, toxicity, warc
+from grove.llm import ann, bpe, exact_dedup, lm, near_dedup, pii, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_lm_score": lm.op2_lm_score,
         "op3_ann": ann.op3_ann,
+        "op4_pii": pii.op4_pii,
         "op5_warc": warc.op5_warc,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,

@@ -12,25 +12,30 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import numpy as np
-
-#: A space beside other white space: such texts are cut with more care.
-_IRREGULAR = re.compile(r" \s|\s | \Z|\A ")
+#: Two white spaces in a row: such texts are cut with more care.
+_IRREGULAR = re.compile(r"\s\s")
 
 
 class SegmentEncoder:
-    """``encode`` turns a list of segments into a list of id sequences."""
+    """``encode`` turns a list of segments into what is remembered of each, such as its ids.
+
+    Keys: a piece that follows a space goes without it; a text's first piece
+    gets a space in front, which no other key has. Two generations of at most
+    ``LIMIT`` pieces are kept: what is met again moves to the younger one, and
+    what has not been met for a generation is forgotten.
+    """
 
-    LIMIT = 1_200_000
+    LIMIT = 500_000
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype):
-        self.encode, self.dtype = encode, np.dtype(dtype)
-        self.known: dict = {}  # a piece after a space has its key without it; a text's first has a space before it
+    def __init__(self, encode: Callable[[list[str]], list]):
+        self.encode = encode
+        self.known: dict = {}
+        self.older: dict = {}
 
     @staticmethod
     def keys(text: str) -> list[str]:
         words = text.split(" ")
-        if not _IRREGULAR.search(text):
+        if words[-1] and not _IRREGULAR.search(text) and words[0]:
             words[0] = " " + words[0]
             return words
         out = [" " + words[0]]
@@ -43,31 +48,25 @@ class SegmentEncoder:
             closed = not word or word[-1].isspace()
         return out
 
-    def values(self, ids: list) -> list:
-        """What is remembered of id sequences."""
-        return [np.asarray(x, self.dtype).tobytes() for x in ids]
-
     def rows(self, texts: list[str]) -> list[list]:
-        """For each text, the values of its segments in order."""
-        get = self.known.get
+        """For each text, what its pieces are remembered by, in order."""
         cut = [self.keys(x) for x in texts]
-        found = [list(map(get, x)) for x in cut]
-        holes = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in found]
-        missing = list({keys[i] for keys, row in zip(cut, holes, strict=True) for i in row})
-        if missing:
-            fresh = {}
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                ids = self.encode([x[1:] if x[0:1] == " " else " " + x for x in part])
-                fresh.update(zip(part, self.values(ids), strict=True))
-            for keys, row, at in zip(cut, found, holes, strict=True):
-                for i in at:
-                    row[i] = fresh[keys[i]]
-            if len(self.known) + len(fresh) > self.LIMIT:
-                self.known.clear()
-            if len(fresh) <= self.LIMIT:
-                self.known.update(fresh)
-        return found
+        missing = set().union(*cut).difference(self.known)
+        if len(self.known) + len(missing) > self.LIMIT:
+            self.older, self.known = self.known, {}
+            missing = set().union(*cut)
+        known, older = self.known, self.older
+        fresh = []
+        for key in missing:
+            value = older.get(key)
+            if value is None:
+                fresh.append(key)
+            else:
+                known[key] = value
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            known.update(zip(part, self.encode([x[1:] if x[0] == " " else " " + x for x in part]), strict=True))
+        return [list(map(known.__getitem__, x)) for x in cut]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(row) for row in self.rows(texts)]
+        return list(map(b"".join, self.rows(texts)))

@@ -49,33 +49,37 @@ _POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=n
 _CHUNK = "array<struct<digest:binary,n_ids:int>>"
 
 
-def _joined(tokenizer):
+def _joined(tokenizer, dtype: np.dtype):
     """An ``encode`` that hands over many segments as one text, with " \\0" between them.
 
-    A segment that starts with a space before another character, ends in no
-    white space and has no NUL can't join with that mark in any match of the
-    byte-level pattern, and the NUL's own id then shows where it stood.
+    The byte-level pattern never joins that mark with a segment that starts
+    with a space before another character, and the NUL's own id then shows
+    where it stood. Segments with a NUL of their own are encoded one by one.
     """
     nul = tokenizer.encode("\0", add_special_tokens=False).ids
     mark = tokenizer.encode(" \0", add_special_tokens=False).ids
     safe = len(nul) == 1 and mark[-1:] == nul and "\0" in mark_text(tokenizer, nul)
+    size, drop = dtype.itemsize, len(mark) - 1
 
-    def encode(part: list[str]) -> list:
+    def alone(part: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype).tobytes() for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def encode(part: list[str]) -> list[bytes]:
         out: list = [None] * len(part)
-        plain = [safe and len(s) > 1 and s[0] == " " and not s[1].isspace() and not s[-1].isspace() and "\0" not in s for s in part]
-        at = [i for i, x in enumerate(plain) if x]
+        at = [i for i, s in enumerate(part) if s[:1] == " " and not s[1:2].isspace() and len(s) > 1] if safe else []
         for k in range(0, len(at), 1000):
             some = at[k : k + 1000]
-            ids = np.array(tokenizer.encode_batch_fast([" \0".join(part[i] for i in some)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(ids == nul[0])
-            if len(ends) != len(some) - 1:
-                raise AssertionError("a segment joined with the mark")
-            starts = [0, *(ends + 1).tolist()]
-            for i, a, b in zip(some, starts, [*(ends - len(mark) + 1).tolist(), len(ids)], strict=True):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(plain) if not x]
-        for i, x in zip(rest, tokenizer.encode_batch_fast([part[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = x.ids
+            ids = np.array(tokenizer.encode_batch_fast([" \0".join([part[i] for i in some])], add_special_tokens=False)[0].ids, dtype)
+            marks = np.flatnonzero(ids == nul[0])
+            if len(marks) != len(some) - 1:
+                continue
+            data, start = ids.tobytes(), 0
+            for i, end in zip(some, [*(marks * size).tolist(), len(data) + drop * size], strict=True):
+                out[i] = data[start : end - drop * size]
+                start = end + size
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, alone([part[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
     return encode
@@ -98,7 +102,7 @@ def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
 
         tokenizer = Tokenizer.from_file(path)
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _encoders[path] = SegmentEncoder(_joined(tokenizer), dtype), dtype
+        _encoders[path] = SegmentEncoder(_joined(tokenizer, dtype)), dtype
     return _encoders[path]
 
 
