@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grove.llm import ann, bpe, exact_dedup, lm, near_dedup, pii, token_store, toxicity, warc
+from grove.llm import ann, bpe, exact_dedup, lm, mixing, near_dedup, pii, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_mixing": mixing.op8_mixing,
         "op9_bpe": bpe.op9_bpe,
         "op10_token_store": token_store.op10_token_store,
     }
