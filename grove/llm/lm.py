@@ -317,7 +317,7 @@ def _score(order: int, tokens: int, kinds: int, share: np.ndarray):
 
 
 def lm_scores(
-    docs: DataFrame, order: int = 2, held_out: int = 1, folds: int = 5, block_bytes: int = 24 << 20, keys_a_part: int = 1 << 20
+    docs: DataFrame, order: int = 2, held_out: int = 1, folds: int = 5, block_bytes: int = 8 << 20, keys_a_part: int = 1 << 20
 ) -> DataFrame:
     """Scores of every text of ``docs`` (doc_id, text); see the module's docstring.
 
