@@ -2,9 +2,9 @@
 
 A text is cut into segments (``segments``), a segment into matches of the
 pattern, and a match, when it is no token itself, starts as rows (word,
-position, token), one a byte. A recursive query joins neighbouring rows with
-the merge table, contracts each word's leftmost pair of least rank, and
-repeats until no pair of a word can merge. Decoding joins ids with the
+position, token), one a byte. Each round of a recursive query joins rows of
+token and position with the merge table, contracts each word's leftmost pair
+of least rank, and ends when no pair of a word can merge. Decoding joins ids with the
 vocabulary and aggregates the bytes in order of position. Only segments that
 the worker has not seen lately go through DuckDB; its memory is limited.
 
@@ -27,20 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm.segments import SegmentEncoder
+from grove.llm.worker import claim, forgettable
 
-#: pair of tokens as one key; rank and position as one number that sorts by rank, then position.
+#: A word's tokens are a list between rounds. Pair of tokens as one key; rank and place as one number that sorts by rank, then place.
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
-  SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, 0 AS turn FROM start
+  SELECT word, list(tok ORDER BY pos) AS toks, 0 AS turn FROM start GROUP BY word
   UNION ALL
-  SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos), turn FROM (
-    SELECT s.word, s.pos, CASE WHEN s.pos = best % 4294967296 THEN (best // 4294967296)::INT ELSE s.tok END AS tok,
-           s.turn + 1 AS turn, best % 4294967296 AS place, lag(s.pos) OVER (PARTITION BY s.word ORDER BY s.pos) AS prev
-    FROM state s JOIN (
-      SELECT word, min(merged::BIGINT * 4294967296 + pos) AS best
-      FROM state JOIN merges ON pair = tok::BIGINT * 4294967296 + nxt GROUP BY word) b ON s.word = b.word)
-  WHERE prev IS NULL OR prev <> place)
-SELECT word, pos, tok FROM state QUALIFY turn = max(turn) OVER (PARTITION BY word) ORDER BY word, pos
+  SELECT word, toks[:place - 1] || [merged] || toks[place + 2:], turn + 1 FROM (
+    SELECT word, any_value(toks) AS toks, any_value(turn) AS turn, min(m.merged::BIGINT * 4294967296 + spot) AS best,
+           (best % 4294967296)::INT AS place, (best // 4294967296)::INT AS merged
+    FROM (SELECT word, toks, turn, unnest(range(1, len(toks))) AS spot, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM state WHERE len(toks) > 1) s
+    JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.nxt
+    GROUP BY word))
+SELECT word, arg_max(toks, turn) AS toks FROM state GROUP BY word ORDER BY word
 """
 DECODE_SQL = """
 SELECT word, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (tok) GROUP BY word ORDER BY word
@@ -55,7 +55,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Vocabulary, merge table and queries of one rank file."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "150MB"):
         import duckdb
         import regex
 
@@ -84,47 +84,51 @@ class DuckBpe:
             for name in tables:
                 self.db.unregister(name)
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of byte strings that are not tokens themselves."""
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each word has, of byte strings that are not tokens themselves."""
         lengths = np.array([len(x) for x in words], np.int64)
-        pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = {"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos.astype(np.int32)}
+        start = {"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": _within(lengths).astype(np.int32)}
         start["tok"] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        out = self._run(ENCODE_SQL, start=pa.table(start))
-        word, tok = out["word"].to_numpy(), out["tok"].to_numpy()
-        return np.split(tok, np.searchsorted(word, np.arange(1, len(words))))
-
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of byte strings; one that is a token is that token."""
-        ranks = self.ranks
-        found = [np.array([ranks[x]], np.int32) if x in ranks else None for x in words]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            for i, ids in zip(some, self.words([words[i] for i in some]), strict=True):
-                found[i] = ids
-        return found
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each id sequence."""
-        lengths = np.array([len(x) for x in ids], np.int64)
-        pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        tokens = {"word": np.repeat(np.arange(len(ids), dtype=np.int64), lengths), "pos": pos}
-        tokens["tok"] = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
-        out = [b""] * len(ids)
+        found = self._run(ENCODE_SQL, start=pa.table(start))["toks"].combine_chunks()
+        return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each word has, of byte strings; one that is a token is that token."""
+        known = np.array([self.ranks.get(x, -1) for x in words], np.int64)
+        rest = np.flatnonzero(known < 0)
+        parts = [self.words([words[i] for i in rest[at : at + 20_000]]) for at in range(0, len(rest), 20_000)]
+        lengths = np.ones(len(words), np.int64)
+        if parts:
+            lengths[rest] = np.concatenate([n for _, n in parts])
+        starts, ids = np.cumsum(lengths) - lengths, np.empty(lengths.sum(), np.int32)
+        ids[starts[known >= 0]] = known[known >= 0]
+        if parts:
+            ids[np.repeat(starts[rest], lengths[rest]) + _within(lengths[rest])] = np.concatenate([x for x, _ in parts])
+        return ids, lengths
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Bytes of each of the id sequences that follow one another in ``ids``."""
+        tokens = {"word": np.repeat(np.arange(len(lengths), dtype=np.int64), lengths), "pos": _within(lengths), "tok": ids.astype(np.int32)}
+        out = [b""] * len(lengths)
         table = self._run(DECODE_SQL, tokens=pa.table(tokens))
         for word, text in zip(table["word"].to_pylist(), table["bytes"].to_pylist(), strict=True):
             out[word] = bytes.fromhex(text)
         return out
 
 
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 class _RoundTrip(SegmentEncoder):
     """Remembers the ids of a segment, or of a match, and the bytes that those ids decode to."""
 
     MARKS = frozenset(",.;:!?")
 
-    def __init__(self, bpe: DuckBpe):
+    def __init__(self, bpe: DuckBpe, limit: int):
         super().__init__(self._segments)
+        self.LIMIT = limit
         self.bpe = bpe
         self.words: dict[str, tuple[bytes, bytes]] = {}
 
@@ -143,34 +147,48 @@ class _RoundTrip(SegmentEncoder):
         if len(self.words) + len(new) > self.LIMIT:
             self.words.clear()
             new = list(set().union(*cut))
-        ids = self.bpe.encode([x.encode() for x in new])
-        self.words.update(zip(new, zip((x.astype("<u4").tobytes() for x in ids), self.bpe.decode(ids), strict=True), strict=True))
+        ids, lengths = self.bpe.encode([x.encode() for x in new])
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+        pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
+        self.words.update(zip(new, zip(pieces, self.bpe.decode(ids, lengths), strict=True), strict=True))
         words = self.words
         return [words[x[0]] if len(x) == 1 else (b"".join([words[y][0] for y in x]), b"".join([words[y][1] for y in x])) for x in cut]
 
 
-_bpes: dict[tuple[str, str], _RoundTrip] = {}
+_bpes: dict[tuple[str, str, int], _RoundTrip] = {}
+forgettable(_bpes.clear)
+
 
+#: Segments, and matches, that a worker remembers: about 300 bytes each, three times.
+REMEMBERED = 500_000
 
-def _round_trip(path: str, pattern: str) -> _RoundTrip:
+
+def _round_trip(path: str, pattern: str, remembered: int = REMEMBERED) -> _RoundTrip:
     """This worker's encoder; what it remembers outlives a task."""
-    if (path, pattern) not in _bpes:
-        _bpes[path, pattern] = _RoundTrip(DuckBpe(path, pattern))
-    return _bpes[path, pattern]
+    claim("bpe")
+    key = path, pattern, remembered
+    if key not in _bpes:
+        _bpes[key] = _RoundTrip(DuckBpe(path, pattern), remembered)
+    return _bpes[key]
+
 
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the bytes that the ids decode to.
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the bytes that the ids decode to."""
+    A worker remembers up to ``remembered`` segments of each generation; fewer
+    take less memory and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _round_trip(ranks, pattern)
+        bpe = _round_trip(ranks, pattern, remembered)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 ids, texts = [], []
                 for row in bpe.rows([x or "" for x in batch.column(1).to_pylist()]):
-                    ids.append(b"".join(x[0] for x in row))
-                    texts.append(b"".join(x[1] for x in row))
+                    tokens, pieces = zip(*row, strict=True)  # a text has one piece at least
+                    ids.append(b"".join(tokens))
+                    texts.append(b"".join(pieces))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
@@ -189,7 +207,8 @@ def decode(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
             for at in range(0, len(whole), 200):
                 batch = whole.slice(at, 200)
                 ids = batch.column(1).to_pylist()
-                texts = bpe.decode([np.frombuffer(x or b"", "<u4").astype(np.int32) for x in ids])
+                flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u4")
+                texts = bpe.decode(flat, np.array([len(x or b"") // 4 for x in ids], np.int64))
                 texts = [None if x is None else y.decode("utf-8", "replace") for x, y in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

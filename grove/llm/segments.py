@@ -51,22 +51,32 @@ class SegmentEncoder:
     def rows(self, texts: list[str]) -> list[list]:
         """For each text, what its pieces are remembered by, in order."""
         cut = [self.keys(x) for x in texts]
-        missing = set().union(*cut).difference(self.known)
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.older, self.known = self.known, {}
-            missing = set().union(*cut)
-        known, older = self.known, self.older
-        fresh = []
+        found = [list(map(self.known.get, x)) for x in cut]
+        holes = [i for i, row in enumerate(found) if None in row]
+        if holes:
+            missing = {k for i in holes for k, v in zip(cut[i], found[i], strict=True) if v is None}
+            fresh = self._learn(missing)
+            for i in holes:
+                found[i] = [fresh[k] if v is None else v for k, v in zip(cut[i], found[i], strict=True)]
+        return found
+
+    def _learn(self, missing: set[str]) -> dict:
+        """What is remembered of pieces that the younger generation lacks."""
+        older, fresh = self.older, {}
+        new = []
         for key in missing:
             value = older.get(key)
             if value is None:
-                fresh.append(key)
+                new.append(key)
             else:
-                known[key] = value
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            known.update(zip(part, self.encode([x[1:] if x[0] == " " else " " + x for x in part]), strict=True))
-        return [list(map(known.__getitem__, x)) for x in cut]
+                fresh[key] = value
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            fresh.update(zip(part, self.encode([x[1:] if x[0] == " " else " " + x for x in part]), strict=True))
+        if len(self.known) + len(fresh) > self.LIMIT:
+            self.older, self.known = self.known, {}
+        self.known.update(fresh)
+        return fresh
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return list(map(b"".join, self.rows(texts)))
