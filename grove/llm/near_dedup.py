@@ -41,6 +41,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from grove.llm.graph import connected_components
 from grove.llm.scratch import Scratch
+from grove.llm.worker import claim, forgettable
 
 REGISTERS, BAND, MANTISSA, WORDS = 128, 4, 10, 5
 BANDS = REGISTERS // BAND
@@ -53,7 +54,7 @@ _FACTORS = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1 << 60,
 class _WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -63,6 +64,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+forgettable(_hashes.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,20 +109,24 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup")
     for batch in batches:
-        sizes, keys, found = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            s = shingle_set(text)
-            sizes.append(len(s))
-            keys.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-            found.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "registers"],
-        )
+        texts = batch.column(1).cast(pa.binary())
+        for at in range(0, len(batch), 1000):
+            sizes, keys, found = [], [], []
+            for text in texts.slice(at, 1000).to_pylist():
+                s = shingle_set(text)
+                sizes.append(len(s))
+                keys.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
+                found.append(registers(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "registers"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup")
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         for at in range(0, len(batch), 500):

@@ -43,6 +43,7 @@ from pyspark.sql.window import Window
 
 from grove.llm.scratch import Scratch
 from grove.llm.segments import SegmentEncoder
+from grove.llm.worker import claim, forgettable
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 128, 8192
 _POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
@@ -90,6 +91,7 @@ def mark_text(tokenizer, ids: list[int]) -> str:
 
 
 _encoders: dict[str, tuple[SegmentEncoder, np.dtype]] = {}
+forgettable(_encoders.clear)
 
 
 def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
@@ -144,6 +146,7 @@ def merkle_root(digests: list[bytes]) -> bytes:
 
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_store")
         encoder, dtype = tokenizer_encoder(path)
         tail = np.array([end_id], dtype).tobytes()
         for whole in batches:

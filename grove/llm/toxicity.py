@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.boosting import Boosted, boost, isotonic
 from grove.llm.scratch import Scratch
+from grove.llm.worker import claim
 
 #: Common insults, kept short; the rest is learned.
 INSULTS = frozenset(
@@ -75,7 +76,7 @@ def core_of(word: str) -> str:
 class WordTable(dict):
     """Rows of numbers about words, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
@@ -149,6 +150,7 @@ def _term_counts(only: frozenset | None):
     """(term, toxic documents, clean documents) of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         counts = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
@@ -234,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support:
 
 def _featured(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         table = WordTable(lexicon)
         for batch in batches:
             x = [table.features(t or "") for t in batch["text"].to_pylist()]
@@ -244,6 +247,7 @@ def _featured(lexicon: Lexicon):
 
 def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         table = WordTable(model.lexicon)
         for whole in batches:
             for at in range(0, len(whole), 2000):
@@ -265,6 +269,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` that the model does not take for toxic; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         table = WordTable(model.lexicon)
         for whole in batches:
             for at in range(0, len(whole), 2000):

@@ -145,6 +145,8 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"[0-9]{1,15}", fields.get("content-length", "")):
         raise ValueError("no content length")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= fields.keys():
+        raise ValueError("a header without its mandatory fields")
     body, size = body + 4, int(fields["content-length"])
     block, end = data[body : body + size], body + size + 4
     if len(block) < size or data[end - 4 : end] != b"\r\n\r\n":
