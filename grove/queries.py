@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from grove.functions import columns
 from grove.operators import checks, counts, marks, orders, pairs, representation, sampling, traits, transforms
-from grove.sources import newick, trees
+from grove.sources import newick, spop, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -569,6 +570,50 @@ _on("test_leaves_isomorphic", lambda s, d: pairs.test_leaves_isomorphic(_labelle
 _on("sample_triplet_comparisons", lambda s, d: pairs.sample_triplet_comparisons(_labelled(s, 4, False), _labelled(s, 4, True), "taxon_label", 200))
 
 
+# ---------------------------------------------------------------- formats, checks and other names
+_LISTS = lambda df: representation.make_ancestor_list_col(df)
+query("assign_root_ancestor_token", "sales", lambda df: representation.assign_root_ancestor_token(_LISTS(df), "None").select("id", "ancestor_list"), "SELECT id, CASE WHEN id = ancestor_id THEN '[None]' ELSE '[' || ancestor_id || ']' END AS ancestor_list FROM t")
+query(
+    "parse_ancestor_ids",
+    "sales",
+    lambda df: _LISTS(df).select("id", F.size(columns.parse_ancestor_ids(F.col("ancestor_list"))).cast("long").alias("n"), columns.parse_ancestor_id(F.col("ancestor_list")).alias("one")),
+    "SELECT id, CASE WHEN id = ancestor_id THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN id <> ancestor_id THEN ancestor_id END AS one FROM t",
+)
+query("try_add_ancestor_list_col", "sales", lambda df: representation.try_add_ancestor_id_col(representation.try_add_ancestor_list_col(df).drop("ancestor_id")).select("id", "ancestor_id"), "SELECT id, ancestor_id FROM t")
+query("validate", "sales", lambda df: df.sparkSession.createDataFrame([(checks.validate(_LISTS(df)),)], "result boolean"), "SELECT true AS result")
+query(
+    "check_topological_sensitivity",
+    "heap",
+    lambda df: df.sparkSession.createDataFrame([(c,) for c in checks.check_topological_sensitivity(marks.mark_node_depth(marks.mark_num_leaves(df)), insert=True, delete=False, update=True)], "stale string"),
+    "SELECT unnest(['num_leaves', 'node_depth']) AS stale",
+)
+query("drop_topological_sensitivity", "heap", lambda df: checks.drop_topological_sensitivity(marks.mark_num_leaves(df)), "SELECT * FROM t")
+query("categorize_triplet", "heap", lambda df: df.sparkSession.createDataFrame([(pairs.categorize_triplet(df, [7, 8, 30]),)], "outgroup int"), "SELECT 2 AS outgroup")
+query("mark_sample_tips_count", "recursive", lambda df: sampling.mark_sample_tips(df, 30, seed=2).agg(F.count_if("sampled").alias("n")), "SELECT least(30, (SELECT count(*) FROM lf)) AS n")
+query("downsample_tips_count", "recursive", lambda df: counts.count_leaf_nodes(sampling.downsample_tips(df, 30, seed=2)), "SELECT least(30, (SELECT count(*) FROM lf)) AS count")
+query("mark_sample_tips_clade", "recursive", lambda df: sampling.mark_sample_tips_clade(df, 40, seed=1).select("id", "sampled"))
+_NIB = """kd AS (SELECT t.id, kn.k, (SELECT count(*) FROM cl WHERE cl.id = t.id AND cl.anc <> t.id)::BIGINT AS inner_above FROM t JOIN kn USING (id)),
+  al AS (SELECT k AS id, 2 * inner_above AS d, CASE WHEN t.id = t.ancestor_id THEN k ELSE t.ancestor_id END AS up FROM kd JOIN t USING (id)
+         UNION ALL SELECT kd.id, 2 * inner_above + 1, k FROM kd)"""
+query(
+    "add_inner_niblings",
+    "recursive",
+    lambda df: _edges(transforms.add_inner_niblings(df)),
+    _KNUCKLES + " UNION ALL SELECT al.id + (SELECT max(k) + 1 FROM kn), al.up FROM al WHERE al.d % 2 = 1",
+    _KN + ", " + _NIB,
+)
+
+
+def _spop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(" ", F.col("n_nationkey"), F.when(F.col("n_nationkey") == 0, "(none)").otherwise((F.col("n_nationkey") - 1).cast("string")), F.col("n_regionkey"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(line.alias("x")).collect()  # 25 rows
+    text = "\n".join(["#filetype genotype_data", "#format id parents update_born", *(r.x for r in rows)])
+    return spop.from_avida_spop(spark, text=text).select("id", "ancestor_list", "origin_time")
+
+
+_on("from_avida_spop", _spop, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN '[none]' ELSE '[' || (n_nationkey - 1) || ']' END AS ancestor_list, n_regionkey::BIGINT AS origin_time FROM nation")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
