@@ -127,8 +127,7 @@ class _RoundTrip(SegmentEncoder):
     MARKS = frozenset(",.;:!?")
 
     def __init__(self, bpe: DuckBpe, limit: int):
-        super().__init__(self._segments)
-        self.LIMIT = limit
+        super().__init__(self._segments, limit)
         self.bpe = bpe
         self.words: dict[str, tuple[bytes, bytes]] = {}
 

@@ -27,8 +27,8 @@ class SegmentEncoder:
 
     LIMIT = 500_000
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = LIMIT):
+        self.encode, self.LIMIT = encode, limit
         self.known: dict = {}
         self.older: dict = {}
 

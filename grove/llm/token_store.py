@@ -46,6 +46,8 @@ from grove.llm.segments import SegmentEncoder
 from grove.llm.worker import claim, forgettable
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 128, 8192
+#: Segments of each generation that a worker remembers, about 200 bytes each.
+REMEMBERED = 700_000
 _POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 _CHUNK = "array<struct<digest:binary,n_ids:int>>"
 
@@ -104,7 +106,7 @@ def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
 
         tokenizer = Tokenizer.from_file(path)
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _encoders[path] = SegmentEncoder(_joined(tokenizer, dtype)), dtype
+        _encoders[path] = SegmentEncoder(_joined(tokenizer, dtype), REMEMBERED), dtype
     return _encoders[path]
 
 
