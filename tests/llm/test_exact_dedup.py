@@ -3,7 +3,7 @@ import re
 import uuid
 from collections import defaultdict
 
-from conftest import texts
+from samples import texts
 
 from grove.llm.exact_dedup import DigestIndex, exact_dedup, keep_first_copies
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import texts
+from samples import texts
 
 from grove.llm import lm
 

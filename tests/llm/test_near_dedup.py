@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import WORDS, prose, texts
+from samples import WORDS, prose, texts
 
 from grove.llm.near_dedup import estimate, keep_one_of_each, near_duplicates, registers, shingle_set
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import texts
+from samples import texts
 
 from grove.llm import pii
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import texts
+from samples import texts
 
 from grove.llm import bpe, token_store
 from grove.llm.scratch import Scratch
@@ -86,9 +86,12 @@ def test_crc_of_joined_streams():
 def test_cuts_move_little_with_an_edit():
     ids = np.random.default_rng(1).integers(0, 50_000, 40_000).astype(np.uint16)
     edited = np.concatenate([ids[:20_000], [7], ids[20_000:]]).astype(np.uint16)
-    pieces = lambda x: {x[a:b].tobytes() for a, b in zip([0, *token_store.cuts(x)], token_store.cuts(x))}
+    ends = lambda x: token_store.cuts(token_store.marks(x).tolist(), len(x))
+    pieces = lambda x: {x[a:b].tobytes() for a, b in zip([0, *ends(x)], ends(x))}
     assert len(pieces(ids) & pieces(edited)) >= len(pieces(ids)) - 3
-    assert max(np.diff([0, *token_store.cuts(np.zeros(50_000, np.uint16))])) <= token_store.MOST
+    assert max(np.diff([0, *ends(np.zeros(50_000, np.uint16))])) <= token_store.MOST
+    both = token_store._marks_by_text([ids.tobytes(), edited.tobytes()], np.cumsum([len(ids), len(edited)]), np.dtype("<u2"))
+    assert [token_store.cuts(f, len(x)) for f, x in zip(both, (ids, edited))] == [ends(ids), ends(edited)]
 
 
 def tiktoken_encoding():

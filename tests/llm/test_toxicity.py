@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import prose, texts
+from samples import prose, texts
 
 from grove.llm import toxicity
 from grove.llm.boosting import boost, isotonic
