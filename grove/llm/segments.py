@@ -16,6 +16,17 @@ from collections.abc import Callable
 _IRREGULAR = re.compile(r"\s\s")
 
 
+def _holes(row: list) -> list[int]:
+    """Where a list has None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = row.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class SegmentEncoder:
     """``encode`` turns a list of segments into what is remembered of each, such as its ids.
 
@@ -52,12 +63,13 @@ class SegmentEncoder:
         """For each text, what its pieces are remembered by, in order."""
         cut = [self.keys(x) for x in texts]
         found = [list(map(self.known.get, x)) for x in cut]
-        holes = [i for i, row in enumerate(found) if None in row]
-        if holes:
-            missing = {k for i in holes for k, v in zip(cut[i], found[i], strict=True) if v is None}
+        holes = [_holes(row) for row in found]
+        missing = {keys[i] for keys, row in zip(cut, holes, strict=True) for i in row}
+        if missing:
             fresh = self._learn(missing)
-            for i in holes:
-                found[i] = [fresh[k] if v is None else v for k, v in zip(cut[i], found[i], strict=True)]
+            for keys, row, at in zip(cut, found, holes, strict=True):
+                for i in at:
+                    row[i] = fresh[keys[i]]
         return found
 
     def _learn(self, missing: set[str]) -> dict:

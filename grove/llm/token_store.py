@@ -48,38 +48,36 @@ from grove.llm.worker import claim, forgettable
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 128, 8192
 #: Segments of each generation that a worker remembers, about 200 bytes each.
 REMEMBERED = 700_000
-_POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
-_CHUNK = "array<struct<digest:binary,n_ids:int>>"
 
 
 def _joined(tokenizer, dtype: np.dtype):
-    """An ``encode`` that hands over many segments as one text, with " \\0" between them.
+    """An ``encode`` that hands over many segments as one text.
 
-    The byte-level pattern never joins that mark with a segment that starts
-    with a space before another character, and the NUL's own id then shows
-    where it stood. Segments with a NUL of their own are encoded one by one.
+    A segment with one space, at its start and before another character, is
+    parted from the one before it by the byte-level pattern, and its first id
+    is the only one whose bytes start with a space: that is where it starts.
+    Other segments are encoded one by one.
     """
-    nul = tokenizer.encode("\0", add_special_tokens=False).ids
-    mark = tokenizer.encode(" \0", add_special_tokens=False).ids
-    safe = len(nul) == 1 and mark[-1:] == nul and "\0" in mark_text(tokenizer, nul)
-    size, drop = dtype.itemsize, len(mark) - 1
+    n = tokenizer.get_vocab_size()
+    opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])  # the byte-level space
+    size = dtype.itemsize
 
     def alone(part: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype).tobytes() for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(part: list[str]) -> list[bytes]:
         out: list = [None] * len(part)
-        at = [i for i, s in enumerate(part) if s[:1] == " " and not s[1:2].isspace() and len(s) > 1] if safe else []
-        for k in range(0, len(at), 1000):
-            some = at[k : k + 1000]
-            ids = np.array(tokenizer.encode_batch_fast([" \0".join([part[i] for i in some])], add_special_tokens=False)[0].ids, dtype)
-            marks = np.flatnonzero(ids == nul[0])
-            if len(marks) != len(some) - 1:
-                continue
+        at = [i for i, s in enumerate(part) if s.rfind(" ") == 0 and len(s) > 1 and not s[1].isspace()]
+        for k in range(0, len(at), 2000):
+            some = at[k : k + 2000]
+            ids = np.array(tokenizer.encode_batch_fast(["".join([part[i] for i in some])], add_special_tokens=False)[0].ids, dtype)
+            starts = np.flatnonzero(opens[ids])
+            if len(starts) != len(some) or starts[0]:
+                continue  # no byte-level vocabulary
             data, start = ids.tobytes(), 0
-            for i, end in zip(some, [*(marks * size).tolist(), len(data) + drop * size], strict=True):
-                out[i] = data[start : end - drop * size]
-                start = end + size
+            for i, end in zip(some, [*(starts[1:] * size).tolist(), len(data)], strict=True):
+                out[i] = data[start:end]
+                start = end
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, alone([part[i] for i in rest]), strict=True):
             out[i] = x
@@ -88,10 +86,6 @@ def _joined(tokenizer, dtype: np.dtype):
     return encode
 
 
-def mark_text(tokenizer, ids: list[int]) -> str:
-    return tokenizer.decode(ids, skip_special_tokens=False)
-
-
 _encoders: dict[str, tuple[SegmentEncoder, np.dtype]] = {}
 forgettable(_encoders.clear)
 
@@ -110,20 +104,29 @@ def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind ids where the hash of the last 16 has its low bits zero.
+
+    The window doubles: a hash of 2n ids is one of n plus a power times the
+    one before it. Documents may follow one another in ``ids``: a chunk has
+    more ids than the window, so no cut looks back into another document.
+    """
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    rolling = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        rolling[k:] += x[: n - k] * _POWERS[k]
-    rolling ^= rolling >> np.uint64(29)
-    marks = np.flatnonzero((rolling * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + 1
+    width, power = 1, np.uint64(0x9E3779B97F4A7C15)
+    while width < WINDOW:
+        before = x[:-width] * power
+        x = x.copy()
+        x[width:] += before
+        width, power = 2 * width, np.uint64(int(power) * int(power) % 2**64)
+    x ^= x >> np.uint64(29)
+    return np.flatnonzero((x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + 1
+
+
+def cuts(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids with these marks."""
     out, last = [], 0
-    for mark in marks.tolist():
+    for mark in found:
         while mark - last > MOST:
             last += MOST
             out.append(last)
@@ -146,51 +149,63 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+_CUT = "doc_id long, root binary, seq int, digest binary, n_ids int, data binary"
+
+
 def _chunked(path: str, end_id: int):
+    """Documents to rows of chunks; a digest's data goes with its first chunk of the task alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token_store")
         encoder, dtype = tokenizer_encoder(path)
-        tail = np.array([end_id], dtype).tobytes()
+        tail, size = np.array([end_id], dtype).tobytes(), dtype.itemsize
+        sent: set[bytes] = set()
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                rows: list[list] = [[], [], [], [], []]
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                for doc, data in zip(batch.column(0).to_pylist(), encoder(texts), strict=True):
-                    ids, last, parts = np.frombuffer(data + tail, dtype), 0, []
-                    for stop in cuts(ids):
-                        parts.append(ids[last:stop].tobytes())
+                rows: list[list] = [[], [], [], [], [], []]
+                texts = [x + tail for x in encoder([x or "" for x in batch.column(1).to_pylist()])]
+                ends = np.cumsum([len(x) // size for x in texts])
+                for doc, data, found in zip(batch.column(0).to_pylist(), texts, _marks_by_text(texts, ends, dtype), strict=True):
+                    last, parts = 0, []
+                    for stop in cuts(found, len(data) // size):
+                        parts.append(data[last * size : stop * size])
                         last = stop
                     digests = [hashlib.blake2b(x, digest_size=32).digest() for x in parts]
                     root = merkle_root(digests)
                     for seq, (digest, part) in enumerate(zip(digests, parts, strict=True)):
-                        for column, value in zip(rows, (doc, root, seq, digest, part), strict=True):
+                        row = (doc, root, seq, digest, len(part) // size, None if digest in sent else part)
+                        sent.add(digest)
+                        for column, value in zip(rows, row, strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    ["doc_id", "root", "seq", "digest", "data"],
-                )
+                    if len(sent) > 1_000_000:
+                        sent.clear()  # a bound; repeats beyond it are found by the shuffle
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["doc_id", "root", "seq", "digest", "n_ids", "data"])
 
     return run
 
 
+def _marks_by_text(texts: list[bytes], ends: np.ndarray, dtype: np.dtype) -> list[list[int]]:
+    """The marks of each of the texts, counted from its own start."""
+    places = marks(np.frombuffer(b"".join(texts), dtype))
+    return [(x - start).tolist() for x, start in zip(np.split(places, np.searchsorted(places, ends[:-1], "right")), [0, *ends[:-1].tolist()], strict=True)]
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) into a new store at ``path``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     width = width or tokenizer_encoder(tokenizer)[1].itemsize
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _chunked(tokenizer, end_id), "doc_id long, root binary, seq int, digest binary, data binary"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked(tokenizer, end_id), _CUT)
     # The row number tells apart rows that repeat an id; it is fixed once written.
     cut = scratch.write(rows.withColumn("at", F.monotonically_increasing_id() - F.col("seq")), "cut")
-    size = (F.length("data") / width).cast("int")
-
-    chunks = cut.select("digest", "data", size.alias("n_ids")).dropDuplicates(["digest"])
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Each task sends a digest's data once, so no digest can crowd one task here; one sort serves both halves of the aggregation.
+    spread = cut.filter(F.col("data").isNotNull()).select("digest", "n_ids", "data").repartition("digest")
+    spread.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     recipes = cut.groupBy("doc_id", "root", "at").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "digest", size.alias("n_ids")))).alias("c"), F.sum(size).cast("long").alias("n_tokens")
+        F.array_sort(F.collect_list(F.struct("seq", "digest", "n_ids"))).alias("c"), F.sum("n_ids").cast("long").alias("n_tokens")
     )
     recipes = recipes.select("doc_id", "root", "at", "n_tokens", F.transform("c", lambda x: F.struct(x["digest"], x["n_ids"])).alias("chunks"))
     sorted_ = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("at"))
