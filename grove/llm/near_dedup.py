@@ -13,7 +13,8 @@ Stages, each cut by a written table:
    partially aggregated groupBy: copies never meet as rows.
 3. Bands of 4 registers (32 of them) are hashed; per band key only minimum
    and maximum id are aggregated. At a similarity of 0.85 two documents share
-   no band with probability (1 - 0.85^4)^32 < 1e-10.
+   no band with probability (1 - 0.85^4)^32 < 1e-10, at 0.8 (the pipeline's)
+   with probability < 5e-8.
 4. Every member of a band is a candidate partner of the band's minimum, never
    of all members. The registers' collision-corrected Jaccard estimate drops
    a candidate only beyond six standard errors; the rest is verified on the

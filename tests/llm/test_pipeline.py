@@ -56,6 +56,17 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in pipeline.run(spark, path).collect()} == kept["bpe"]
 
 
+def test_near_copies_from_eight_tenths_on(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows = []
+    for k, more in enumerate((14, 17, 19, 20, 21)):  # of 80 shingles: similarities 0.851, 0.825, 0.808, 0.8 and 0.792
+        words = [f"w{k}x{i}" for i in range(84)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words + [f"more{k}x{i}" for i in range(more)]))]
+    assert components(rows, 80) != components(rows)
+    kept = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(components(rows, 80).values())) == [0, 10, 20, 30, 40, 41]
+
+
 def test_contract():
     pipeline = importlib.import_module("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
