@@ -11,7 +11,8 @@ partitioning, and a larger budget only adds some.
 
 The cells are aggregated before anything is collected. At most ``most_cells``
 of them are raked on the driver, as arrays; beyond that the same rounds run as
-joins of cell tables, each round written.
+joins of cell tables, each round written. Both stop after 200 rounds, or when
+no factor of a round is further than 1e-9 from 1.
 
 Topics: a ``topic`` column is used where there is one, else the form of the
 text decides: table, markup, symbols, shouting, numbers, short or prose.
@@ -71,7 +72,11 @@ def tempered(sums: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / sum(scaled.values()) for k, v in scaled.items()}
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, within: float = 1e-9) -> np.ndarray:
+#: Raking ends after so many rounds, or with one whose factors are all this near to 1.
+MOST_ROUNDS, WITHIN = 200, 1e-9
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = MOST_ROUNDS, within: float = WITHIN) -> np.ndarray:
     """Weights of cells such that weighted tokens have the target sums on each margin."""
     now = tokens.astype(float)
     for _ in range(rounds):
@@ -104,8 +109,8 @@ def _rake_tables(cells: DataFrame, targets: dict[str, dict[str, float]] | None,
     spark, now = cells.sparkSession, cells.withColumn("w", F.lit(1.0))
     wanted = {}
     for m in MARGINS:
-        if targets and m in targets:
-            t = spark.createDataFrame(list(targets[m].items()), f"{m} string, share double").join(cells.select(m).distinct(), m)
+        if given := (targets or {}).get(m):
+            t = spark.createDataFrame(list(given.items()), f"{m} string, share double").join(cells.select(m).distinct(), m)
         else:
             t = cells.groupBy(m).agg(F.pow(F.sum("tokens"), power).alias("share"))
         sums = t.agg(F.sum("share")).first()[0]
@@ -114,11 +119,30 @@ def _rake_tables(cells: DataFrame, targets: dict[str, dict[str, float]] | None,
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("w")).alias("sum")).join(wanted[m], m, "left")
             factor = F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(1.0)
-            now = now.join(sums.select(m, factor.alias("factor")), m).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-        now = scratch.write(now.select("source", "lang", "topic", "tokens", "w"), f"round-{turn}")
+            now = now.join(sums.select(m, factor.alias(f"by_{m}")), m).withColumn("w", F.col("w") * F.col(f"by_{m}"))
+        off = F.greatest(*(F.abs(F.col(f"by_{m}") - 1) for m in MARGINS))
+        now = scratch.write(now.select(*MARGINS, "tokens", "w", off.alias("off")), f"round-{turn}")
+        worst = now.agg(F.max("off")).first()[0]
+        now = now.drop("off")
+        if turn:
+            scratch.drop(f"round-{turn - 1}")
+        if worst < WITHIN:
+            break
     return now
 
 
+def _calibrate_tables(raked: DataFrame, wanted: float) -> float:
+    """``calibrate`` by aggregations: the factor grows, and with it the cells taken whole, until none is added."""
+    t, w = F.col("tokens"), F.col("w")
+    factor, whole = 0.0, -1
+    while True:
+        over = w * factor >= 1
+        row = raked.agg(F.sum(F.when(over, t).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(t * w)), F.count_if(over)).first()
+        if row[2] == whole or not row[1]:
+            return factor
+        factor, whole = max(factor, (wanted - row[0]) / row[1]), row[2]
+
+
 def mix(
     docs: DataFrame,
     keep: float = 0.7,
@@ -126,13 +150,14 @@ def mix(
     targets: dict[str, dict[str, float]] | None = None,
     seed: int = 42,
     most_cells: int = 200_000,
-    rounds: int = 25,
+    rounds: int | None = None,
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability and sampled of every row.
 
     ``keep`` is the expected share of all tokens. ``targets`` gives shares by
     margin and label (a label without one gets 0); a margin without targets
-    gets its own shares tempered by ``power``.
+    gets its own shares tempered by ``power``. ``rounds`` lowers the bound of
+    rounds, of joins to itself and of arrays to eight times it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -151,19 +176,15 @@ def mix(
             goal = np.array([share.get(x, 0.0) for x in labels])
             codes.append(code)
             goals.append(goal / max(goal.sum(), 1e-300) * (total or 0))
-        weights = rake(tokens, codes, goals, rounds * 8) if n else np.empty(0)
+        weights = rake(tokens, codes, goals, MOST_ROUNDS if rounds is None else 8 * rounds) if n else np.empty(0)
         factor = calibrate(tokens, weights, keep * (total or 0)) if n else 1.0
         table = [(r.source, r.lang, r.topic, float(w), float(min(1.0, factor * w))) for r, w in zip(found, weights, strict=True)]
         # At most most_cells rows.
         ratios = F.broadcast(spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double"))
     else:
-        raked = _rake_tables(cells, targets, power, float(total), rounds, scratch)
-        low, high = 0.0, float(raked.agg(F.max(1 / F.when(F.col("w") > 0, F.col("w")))).first()[0])
-        for _ in range(50):
-            mid = (low + high) / 2
-            sums = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("w") * mid))).first()[0]
-            low, high = (mid, high) if sums < keep * total else (low, mid)
-        ratios = raked.select(*MARGINS, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * high).alias("probability"))
+        raked = _rake_tables(cells, targets, power, float(total), MOST_ROUNDS if rounds is None else rounds, scratch)
+        factor = _calibrate_tables(raked, keep * total)
+        ratios = raked.select(*MARGINS, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * factor).alias("probability"))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
     out = rows.join(ratios, list(MARGINS)).withColumn("sampled", uniform < F.col("probability"))
     return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", "sampled")

@@ -79,3 +79,14 @@ def test_targets_topics_and_emptiness(spark, no_docs):
     assert abs(mass["a"] / sum(mass.values()) - 0.9) < 1e-6
     assert {r.topic for r in rows} == {"x", "y", "z"}
     assert mixing.mix(no_docs).count() == 0 and mixing.sample_mixed(no_docs).count() == 0
+
+
+def test_tables_give_what_arrays_give_by_default(spark):
+    """Margins that take 59 rounds to settle."""
+    cells = [("a", "x", "t", 20), ("b", "y", "t", 10), ("a", "y", "t", 2), ("b", "x", "u", 3)]
+    rows = [(10 * i, "w " * n, lang, source, topic) for i, (source, lang, topic, n) in enumerate(cells)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string").coalesce(1)
+    a, b = ({r.doc_id: r for r in mixing.mix(df, most_cells=most).collect()} for most in (200_000, 1))
+    assert a.keys() == b.keys() == {r[0] for r in rows}
+    for i in a:
+        assert abs(a[i].weight - b[i].weight) < 1e-9 and abs(a[i].probability - b[i].probability) < 1e-9
