@@ -5,7 +5,8 @@ numbers in whole texts by fixed patterns, leftmost and without overlap, each
 kind by itself. Its finds are the seeds. A context is the word before or after
 an identifier of a kind. Contexts and instances form a graph that Spark scores
 in rounds: a context's confidence is the weight of the instances in it over
-*all* occurrences of its word in the corpus, an instance's weight is 1 for a
+*all* occurrences of its word in the corpus, by itself or glued to others (the
+"tel:" of "tel:none", the ")" of "see)"), an instance's weight is 1 for a
 seed and else 1 - product of (1 - confidence) over its contexts. Contexts need
 ``support`` different seeds. What only looks like an identifier (a number that
 fails its checksum, a phone number without plus, a written-out address, an
@@ -48,6 +49,9 @@ _LIKE = (
     (2, re.compile(r"(?<![\w.+-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\w-])")),
     (3, re.compile(r"(?<![\w.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![\w-])")),
 )
+#: Where a word's beginning ends before what could be an identifier, and its end begins after; of 60 characters at most, as contexts are.
+_GLUE_BEFORE = re.compile(r"(?<!.{60})[^\w](?=[\w+(])")
+_GLUE_AFTER = re.compile(r"\w(?=[^\w].{0,59}$)", re.S)
 _SPAN = "struct<kind:int,start:int,stop:int>"
 _ROW = f"doc_id long, base array<{_SPAN}>, seen array<struct<kind:int,start:int,stop:int,seed:boolean,value:string,before:string,after:string>>"
 
@@ -140,13 +144,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts, summed within the task up to a bound of different words."""
+    """Counts of words, of their beginnings and of their ends where an identifier could be glued; summed within the task up to a bound of different words."""
     counts: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        heads, tails = Counter(), Counter()
+        for word, n in counts.items():
+            if not word.isalnum():
+                for m in _GLUE_BEFORE.finditer(word):
+                    heads[word[: m.end()]] += n
+                for m in _GLUE_AFTER.finditer(word):
+                    tails[word[m.end() :]] += n
+        every = list(dict.fromkeys([*counts, *heads, *tails]))
+        out = [pa.array([c[x] for x in every], pa.int64()) for c in (counts, heads, tails)]
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *out], ["word", "n", "before", "after"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -190,8 +202,12 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, accept: float =
     shared = edges.filter("seed").groupBy(*keys).agg(F.approx_count_distinct("value", 0.02).alias("seeds")).filter(F.col("seeds") >= support)
     shared = scratch.write(shared, "shared")
     if shared.limit(1).count():
-        counted = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        contexts = scratch.write(shared.join(counted, "word").select(*keys, "n"), "contexts")
+        counted = docs.select("text").mapInArrow(_count_words, "word string, n long, before long, after long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "before", "after")))
+        # What touches identifiers and what looks like them is there, however it is glued.
+        touching = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("touching"))
+        glued = F.when(F.col("side") == "before", F.col("before")).otherwise(F.col("after"))
+        n = F.greatest(F.coalesce(F.col("n") + glued, F.lit(0)), "touching").alias("n")
+        contexts = scratch.write(shared.join(counted, "word", "left").join(touching, ["side", "word"]).select(*keys, n), "contexts")
         edges = scratch.write(edges.join(contexts, keys), "edges")
         found = ["row", "kind", "start", "stop"]
         weights = None
@@ -199,7 +215,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, accept: float =
             now = edges.withColumn("weight", F.col("seed").cast("double"))
             if weights is not None:
                 now = edges.join(weights, found, "left").withColumn("weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("w", F.lit(0.0))))
-            # A word glued to an identifier may be counted elsewhere as part of it: never above 1.
+            # Never above 1.
             sure = now.groupBy(*keys, "n").agg(F.sum("weight").alias("sum")).select(*keys, F.least(F.col("sum") / F.greatest("n", "sum"), F.lit(0.999999)).alias("c"))
             weights = edges.filter("not seed").join(sure, keys).groupBy(*found).agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("w"))
             weights = scratch.write(weights, f"weights-{turn}")

@@ -76,3 +76,23 @@ def test_what_looks_like_an_identifier(text, added):
 
 def test_empty(no_docs):
     assert pii.find_pii(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("label", ["tel:", "<"])
+def test_glued_contexts_find_unseen_identifiers(spark, label):
+    """Labels that never stand alone; a full stop, which ends all sentences, tells nothing."""
+    numbers = [f"{i:03d}-{i * 7 % 1000:03d}-{i * 13 % 10000:04d}" for i in range(80)]
+    rows = [(i, f"line {label}+1 {n} or. So it is. And on. And on.") for i, n in enumerate(numbers[:60])]
+    unseen = [(100 + i, f"line {label}{n} and") for i, n in enumerate(numbers[60:70])]
+    stray = [(200 + i, f"the ledger has #{n}. So it is. And on.") for i, n in enumerate(numbers[70:])]
+    more = [(300 + i, f"reach +1 {n}. So it is. And on. And on.") for i, n in enumerate(numbers[:60])]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows + unseen + stray + more, "doc_id long, text string")).collect()}
+    assert all(got[i].n_phone == 1 for i, *_ in rows + more)
+    assert all(got[i].n_added == 1 for i, _ in unseen)
+    assert all(got[i].n_added == 0 and got[i].spans == "" for i, _ in stray)
+
+
+def test_a_label_glued_to_other_words_too_tells_little(spark):
+    numbers = [f"{i:03d}-{i * 7 % 1000:03d}-{i * 13 % 10000:04d}" for i in range(50)]
+    rows = [(i, f"line <+1 {n} {i}x <and <so <on") for i, n in enumerate(numbers[:40])] + [(100 + i, f"sum <{n} y{i}") for i, n in enumerate(numbers[40:])]
+    assert all(r.n_added == 0 for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
