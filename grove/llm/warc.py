@@ -127,16 +127,26 @@ def write_warc(
     return scratch.write(rows.mapInArrow(_writer(folder, date, most, compressed), "file string, records long, bytes long"), "files")
 
 
+def _header_end(data: bytes, start: int) -> int:
+    """Where the header whose first line ends at ``start`` ends, however long it is; looks no further than twice the way to the next version line."""
+    size = 1 << 16
+    while True:
+        body = data.find(b"\r\n\r\n", start - 2, start + size)
+        if _VERSION.search(data, start, body + 2 if body >= 0 else start + size):
+            raise ValueError("a version line inside a header")
+        if body >= 0:
+            return body
+        if start + size >= len(data):
+            raise ValueError("header without end")
+        size *= 2
+
+
 def parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at`` and its end; ValueError says which check fails."""
     start = _VERSION.match(data, at)
     if not start:
         raise ValueError("no version line")
-    body = data.find(b"\r\n\r\n", start.end() - 2)
-    if body < 0 or body - at > 1 << 16:
-        raise ValueError("header without end")
-    if _VERSION.search(data, start.end(), body + 2):
-        raise ValueError("a version line inside a header")
+    body = _header_end(data, start.end())
     fields = {}
     for line in data[start.end() : body].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -261,9 +271,15 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Scratch(spark, "archives").path("warc")
-    if not write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder).limit(1).count():
+    scratch = Scratch(spark, "archives")
+    folder = scratch.path("warc")
+    written = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder).agg(F.sum("records")).first()[0]
+    if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = read_warc(spark, folder, payloads=False).filter("kind = 'record'")
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(_ID) + 1}) AS bigint)")
-    return rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    out = rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    out = scratch.write(out, "rows")
+    if (read := out.count()) != written:
+        raise RuntimeError(f"{written} records written, {read} read")
+    return out

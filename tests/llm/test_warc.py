@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from grove.llm import warc
 from grove.llm.scratch import Scratch
 
@@ -75,3 +77,26 @@ def test_threshold_and_emptiness(spark):
     warc.write_warc(df, folder, least=5).count()
     assert {r.id[-1]: r.type for r in warc.read_warc(spark, folder).collect()} == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
     assert warc.write_warc(df.limit(0), Scratch(spark, "test").path("warc")).count() == 0
+
+
+def test_long_urls(spark, tmp_path):
+    url = "data:text/html," + "x" * 100_000
+    data = warc.record(1, url, b"one", None, DATE) + warc.record(2, url, b"one", 1, DATE) + warc.record(3, "u", b"three", None, DATE)
+    rows = list(warc.salvage(data))
+    assert ids(rows) == [1, 2, 3] and [r["uri"] for r in rows] == [url, url, "u"]
+    assert ids(warc.salvage(data[: data.index(b"\r\nWARC-Target")] + data[data.index(b"WARC/1.1", 9) :])) == [2, 3]
+    pages = spark.createDataFrame([(1, url, "a"), (2, url * 30, "a"), (3, "u", "b")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.op5_warc(spark, str(tmp_path)).collect()} == {(1, "response", None), (2, "revisit", 1), (3, "response", None)}
+
+
+def test_headers_without_end_take_linear_time():
+    assert ids(warc.salvage((b"WARC/1.1\r\n" + b"x" * 50) * 50_000 + some(1)[0])) == [0]
+
+
+def test_a_lost_record_fails_the_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **b: read(*a, **b).filter("id <> 'urn:page:2'"))
+    with pytest.raises(RuntimeError, match="2 records written, 1 read"):
+        warc.op5_warc(spark, str(tmp_path))
