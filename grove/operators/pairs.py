@@ -101,15 +101,16 @@ def calc_mrca_id_vector(df: DataFrame, *, target_id: int) -> DataFrame:
     return down(marked.select("id", "ancestor_id", "_on"), {"_m": ("_on", "last")}).select("id", F.coalesce("_m", F.lit(-1)).alias("mrca_id"))
 
 
-#: Nodes of a table whose pairs may be listed.
+#: Nodes of a table without tree_id whose pairs may be listed; with one, the pairs within trees may be as many.
 MOST_PAIRED = 20_000
 
 
 def _all_pairs(df: DataFrame) -> DataFrame:
-    n = df.count()
-    if n > MOST_PAIRED:
-        raise ValueError(f"{n} nodes have too many pairs to list; ask for the pairs you need")
     k = keys(df)
+    each = df.groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n, listed = each.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()
+    if listed > MOST_PAIRED**2:
+        raise ValueError(f"{n:.0f} nodes have too many pairs to list; ask for the pairs you need")
     first, second = df.select(*k, F.col("id").alias("first")), df.select(*k, F.col("id").alias("second"))
     return first.join(second, k) if k else first.crossJoin(second)  # the result itself is all pairs
 

@@ -337,6 +337,21 @@ query(
     _PAIRS,
 )
 
+# All pairs of a whole table, within each tree; the two above have those of the nodes below 101 alone.
+_TURNS = "FROM t x JOIN t y ON x.tree_id = y.tree_id"
+query(
+    "calc_mrca_id_matrix_whole",
+    "conv",
+    pairs.calc_mrca_id_matrix,
+    f"SELECT x.tree_id, x.id AS first, y.id AS second, least(x.id, y.id) AS mrca_id {_TURNS}",
+)
+query(
+    "calc_distance_matrix_whole",
+    "conv",
+    pairs.calc_distance_matrix,
+    f"SELECT x.tree_id, x.id AS first, y.id AS second, abs(x.origin_time - y.origin_time) AS distance {_TURNS}",
+)
+
 # ---------------------------------------------------------------- transforms
 _REST = "t.origin_time, t.v"
 

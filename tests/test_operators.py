@@ -382,3 +382,22 @@ def test_deep_chain_needs_few_rounds(spark):
     for engine in ("kernel", "doubling"):
         out = down(df, {"d": (F.when(F.col("id") > 0, 1).otherwise(0), "sum")}, engine=engine)
         assert out.filter("d = id").count() == n
+
+
+def test_matrices_of_many_trees(spark, monkeypatch):
+    """All pairs within each tree; trees together may have more nodes than one tree whose pairs are listed."""
+    forest = {t: edges for t, edges in enumerate((shapes()["random"], shapes()["balanced"], shapes()["sparse"]))}
+    df = spark.createDataFrame([(t, i, a, float(3 * i)) for t, edges in forest.items() for i, a in edges], "tree_id long, id long, ancestor_id long, origin_time double")
+    monkeypatch.setattr(pairs, "MOST_PAIRED", 80)  # of 131 nodes, 60 in the largest tree
+    want = {}
+    for t, edges in forest.items():
+        for i, _ in edges:
+            for j, _ in edges:
+                want[t, i, j] = next(x for x in lineage(edges, i) if x in lineage(edges, j))
+    got = pairs.calc_mrca_id_matrix(df).collect()
+    assert len(got) == len(want) and {(r.tree_id, r.first, r.second): r.mrca_id for r in got} == want
+    far = pairs.calc_distance_matrix(df).collect()
+    assert {(r.tree_id, r.first, r.second): r.distance for r in far} == {(t, i, j): 3.0 * (i + j - 2 * m) for (t, i, j), m in want.items()}
+    monkeypatch.setattr(pairs, "MOST_PAIRED", 70)
+    with pytest.raises(ValueError, match="131 nodes"):
+        pairs.calc_mrca_id_matrix(df)
