@@ -12,12 +12,15 @@ Layout below the store's folder (Parquet files, so any Hadoop store serves):
                of 16 bits where the vocabulary allows, else of 32.
 ``recipes/``   doc_id, part, row, start, n_tokens, root, chunks(digest, n_ids);
                ``part`` and ``start`` rise with doc_id.
-``manifest/``  one row: width, end id, documents, tokens and the Merkle root
-               over the parts' roots.
+``manifest/``  one row: width, end id, documents, tokens and a Merkle root
+               whose leaves are checksums of the parts: sums, in any order, of
+               64-bit xxHashes of a part's rows (root, doc_id, start). They
+               notice accidents, not forgery.
 
 The store is read back chunk by chunk: each chunk is read and its digest
-verified once, however many documents hold it, and a document's CRC-32 is
-combined from its chunks' by the rule for concatenated streams.
+verified once, however many documents hold it, its length is compared with the
+recipes', and a document's CRC-32 is combined from its chunks' by the rule for
+concatenated streams.
 ``read_ids`` rebuilds the ids themselves.
 
 Speed: a text is split at single spaces between other characters, where the
@@ -286,12 +289,13 @@ def combine_crc(first: int, second: int, second_bytes: int) -> int:
 def _chunk_sums(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
+            sums, lengths = [], []
             for digest, data in zip(batch["digest"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 if hashlib.blake2b(data, digest_size=32).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 sums.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(sums, pa.int64())], ["digest", "crc"])
+                lengths.append(len(data) // width)
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(sums, pa.int64()), pa.array(lengths, pa.int32())], ["digest", "crc", "length"])
 
     return run
 
@@ -300,7 +304,7 @@ def _document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         out = []
         for root, n_tokens, parts in zip(*(batch[c].to_pylist() for c in ("root", "n_tokens", "parts")), strict=True):
-            if merkle_root([x["digest"] for x in parts]) != root or sum(x["n_ids"] for x in parts) != n_tokens:
+            if merkle_root([x["digest"] for x in parts]) != root or sum(x["n_ids"] for x in parts) != n_tokens or any(x["n_ids"] != x["length"] for x in parts):
                 raise ValueError(f"a recipe with root {root.hex()} is damaged")
             crc = 0
             for x in parts:
@@ -319,9 +323,9 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of each document, from the store's verified chunks."""
     verify_manifest(spark, path)
     width = spark.read.parquet(f"{path}/manifest").first().width
-    sums = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_chunk_sums(width), "digest binary, crc long")
+    sums = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_chunk_sums(width), "digest binary, crc long, length int")
     rows = _recipe_rows(spark, path).withColumn("digest", F.col("chunk.digest"))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "digest", F.col("chunk.n_ids").alias("n_ids"), "crc"))).alias("parts")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "digest", F.col("chunk.n_ids").alias("n_ids"), "crc", "length"))).alias("parts")
     whole = rows.join(sums, "digest", "left").groupBy("part", "row", "doc_id", "start", "n_tokens", "root").agg(parts)
     return whole.mapInArrow(_document_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

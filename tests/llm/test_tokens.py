@@ -70,6 +70,21 @@ def test_damage_is_noticed(spark):
         token_store.read_checksums(spark, path)
 
 
+def test_swapped_lengths_of_chunks_are_noticed(spark):
+    path = Scratch(spark, "test").path("store")
+    df = spark.createDataFrame([(1, " ".join(f"w{i * i}" for i in range(20_000)))], "doc_id long, text string")
+    token_store.write_store(df, path, public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_store.read_checksums(spark, path).count() == 1
+    recipes, schema = (stored := spark.read.parquet(f"{path}/recipes")).collect(), stored.schema
+    row = recipes[0].asDict(recursive=True)
+    lengths = [x["n_ids"] for x in row["chunks"]]
+    assert len(set(lengths)) > 1
+    row["chunks"] = [{**x, "n_ids": n} for x, n in zip(row["chunks"], lengths[1:] + lengths[:1])]
+    spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(Exception, match="is damaged"):
+        token_store.read_checksums(spark, path).collect()
+
+
 def test_store_of_nothing(spark, no_docs):
     path = Scratch(spark, "test").path("store")
     token_store.write_store(no_docs, path, public_tokenizers.path("byte_bpe_50k.json"))
