@@ -19,15 +19,23 @@ Stages, each cut by a written table:
    of all members. The registers' collision-corrected Jaccard estimate drops
    a candidate only beyond six standard errors; the rest is verified on the
    full sets.
-5. Components of the verified links. Bands whose members still lie in
-   different components are resolved exactly: the documents outside a family's
-   largest component meet all members of their bands in blocks of bounded
-   size, where an inverted index of the block's sets counts what they share.
-   A block returns at most the links that join its components.
+5. Components of the verified links (``graph``). Bands whose members still
+   lie in different components are resolved exactly: such components form
+   families, and the documents outside a family's largest component meet all
+   members of their bands in blocks of bounded size, where an inverted index of
+   the block's sets counts what they share. A block returns at most the links
+   that join its components, and only the graph of components is solved again.
+
+A large family's smallest id is one row in the joins of steps 4 and 5, whose
+other side may fill a partition: adaptive execution splits such a partition.
 
 Defined results: null, empty and blank texts have no shingles, are linked
 with nothing and are kept. Texts of one to four words are one shingle. Rows
-that repeat a doc_id are one document. Extra columns are ignored.
+that repeat a doc_id are one document, linked with whatever any of its texts
+is near to, and named alike. Rows without a doc_id are linked with nothing. A
+very long text is one row and its set eight bytes a distinct shingle; sets are
+never cut. Ties need no rule: components do not depend on order. Extra columns
+are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from grove.llm.graph import connected_components
+from grove.llm.graph import BOUND, connected_components
 from grove.llm.scratch import Scratch
 from grove.llm.worker import claim, forgettable
 
@@ -127,12 +135,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of classes from the rows (id, set_key, text) of the documents that represent them."""
     claim("near_dedup")
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         for at in range(0, len(batch), 500):
             sets = [shingle_set(x).tobytes() for x in texts.slice(at, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(sets, pa.binary())], ["id", "shingles"])
+            # Where a doc_id has several texts, only one of them is the class's.
+            own = [xxh3_128_digest(x) == y for x, y in zip(sets, batch.column(1).slice(at, 500).to_pylist(), strict=True)]
+            part = pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield part.filter(pa.array(own, pa.bool_()))
 
 
 def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -175,16 +187,18 @@ def _verified(percent: int):
 
 
 def _across(percent: int):
-    """Links between components within a block: pivots against visitors, exactly, by an inverted index of the pivots."""
+    """Components that links within a block join: pivots against visitors, exactly, by an inverted index of the pivots."""
 
     def run(table: pa.Table) -> pa.Table:
+        claim("near_dedup")
         pivot = table["pivot"].to_numpy(zero_copy_only=False)
-        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        component = table["component"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         asking = np.flatnonzero(pivot)
+        own = component[asking]
         sizes = np.array([len(sets[i]) for i in asking], np.int64)
         hashes = np.concatenate([*(sets[i] for i in asking), np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(asking)), sizes)
+        owner = np.repeat(np.arange(len(asking), dtype=np.int32), sizes)
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         joined: dict[int, int] = {}
@@ -201,76 +215,77 @@ def _across(percent: int):
             counts = last - first
             at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             common = np.bincount(owner[at], minlength=len(asking))
-            for k in np.flatnonzero((100 * common >= percent * (sizes + len(sets[i]) - common)) & (component[asking] != component[i])):
-                x, y = root(int(component[i])), root(int(component[asking[k]]))
+            for k in np.flatnonzero((100 * common >= percent * (sizes + len(sets[i]) - common)) & (own != component[i])):
+                x, y = root(int(component[i])), root(int(own[k]))
                 if x != y:
                     joined[max(x, y)] = min(x, y)
-                    out[0].append(int(ids[i])), out[1].append(int(ids[asking[k]]))
+                    out[0].append(x), out[1].append(y)
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, pivots: int = 512, visitors: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 2_000_000, most_links: int = BOUND) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
-    ``pivots`` and ``visitors`` bound the sets that one task of the last step holds.
+    ``block`` bounds the shingles of the sets that one task of the last step
+    compares with others, and of those others twice as many; ``most_links``
+    bounds the links that one task solves (``graph``).
     """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.write(
         docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, registers binary"), "signatures"
     )
-    classes = scratch.write(
-        signed.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers"), F.first("n_shingles").alias("n")),
-        "classes",
-    )
+    shingled = signed.filter("n_shingles > 0 and doc_id is not null")
+    repeated = shingled.groupBy("doc_id").count().agg(F.max("count") > 1).first()[0]
+    classes = shingled.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min_by("registers", "doc_id").alias("registers"), F.first("n_shingles").alias("n"))
+    # A doc_id that has several sets may represent several classes, which then need numbers of their own.
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id() if repeated else F.col("doc")), "classes")
     band = F.substr("registers", F.col("band") * (2 * BAND) + 1, F.lit(2 * BAND))
-    rows = classes.select("id", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
-        F.xxhash64("band", band).alias("key"), "id"
+    rows = classes.select("id", "n", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
+        F.xxhash64("band", band).alias("key"), "id", "n"
     )
     keys = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
     members = scratch.write(rows.join(keys, "key"), "members")
-    ids = members.select("id").distinct()
-    sets = scratch.write(docs.join(ids, docs.doc_id == ids.id, "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
-    sets = sets.dropDuplicates(["id"]) if sets.groupBy("id").count().filter("count > 1").limit(1).count() else sets
-    signs = scratch.write(classes.join(ids, "id", "left_semi").select("id", "registers", "n"), "signs")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: signs.select(F.col("id").alias(c), F.col("registers").alias(f"reg_{c}"), F.col("n").alias(f"n_{c}"))
-        likely = scratch.write(
-            pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(percent / 100), "a long, b long"), f"likely-{name}"
-        )
-        full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
-        out = likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verified(percent), "a long, b long")
-        return scratch.write(out, f"links-{name}")
-
-    found = links(members.filter("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "first")
-    component = scratch.write(connected_components(found, scratch), "component")
-
-    # What the first links leave apart within a band is compared across components.
-    labelled = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lo")).filter("x < y")
-    open_ = scratch.write(labelled.join(apart.select("key", "lo"), "key"), "open")
+    signs = scratch.write(classes.join(members.select("id").distinct(), "id", "left_semi"), "signs")
+    sets = docs.join(signs.select("id", "doc", "set_key"), F.col("doc_id") == F.col("doc")).select("id", "set_key", "text")
+    sets = scratch.write(sets.mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = sets.dropDuplicates(["id"]) if repeated else sets
+
+    # Every member of a band against the band's least; pairs stay dealt by b, of which there are as many as bands at most.
+    pairs = members.filter("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).repartition("b").distinct()
+    side = lambda c: signs.select(F.col("id").alias(c), F.col("registers").alias(f"reg_{c}"), F.col("n").alias(f"n_{c}"))
+    likely = scratch.write(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    found = likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verified(percent), "a long, b long")
+    if repeated:
+        named = shingled.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
+        tied = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+        found = found.unionByName(tied.filter("a < b"))
+    component = connected_components(found, scratch, "links", most_links)
+
+    # What these links leave apart within a band is compared across components.
+    labelled = members.join(component, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").drop("y")
+    open_ = scratch.write(labelled.join(apart, "key"), "open")
+    again = None
     if open_.limit(1).count():
-        family = connected_components(open_.select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), scratch, "families")
-        nodes = scratch.write(
-            open_.select("id", "component").distinct().join(family.select("id", F.col("component").alias("family")), "id"), "nodes"
-        )
-        each = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-        whole = each.groupBy("family").agg(F.max_by("component", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("n"))
-        blocks = F.greatest(F.ceil(F.col("rest") / pivots), F.lit(1))
+        mixed = open_.filter("x < component").select(F.col("x").alias("a"), F.col("component").alias("b"))
+        families = connected_components(mixed, scratch, "families", most_links).select(F.col("id").alias("component"), F.col("component").alias("family"))
+        nodes = scratch.write(open_.select("id", "n", "component").distinct().join(families, "component"), "nodes")
+        each = nodes.groupBy("family", "component").agg(F.sum("n").alias("n"))
+        # A family's largest component never asks.
+        whole = each.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("all"))
+        blocks = F.greatest(F.ceil(F.col("rest") / block), F.lit(1))
         dealt = nodes.join(whole, "family").select(
             "id",
             "component",
             (F.col("component") != F.col("main")).alias("pivot"),
             F.xxhash64("family", F.pmod(F.xxhash64("id"), blocks)).alias("block"),
-            F.greatest(F.ceil(F.col("n") / visitors), F.lit(1)).alias("parts"),
+            F.greatest(F.ceil(F.col("all") / (2 * block)), F.lit(1)).alias("parts"),
         )
-        dealt = scratch.write(dealt, "dealt")
-        asking = dealt.filter("pivot")
+        asking = scratch.write(dealt.filter("pivot").drop("pivot"), "asking")
         wanted = open_.select("key", "id").join(asking.select("id", "block", "parts"), "id").select("key", "block", "parts").distinct()
         visits = open_.select("key", "id", "component").join(wanted, "key").select("block", "id", "component", "parts").distinct()
         rows = visits.select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part"), "id", "component", F.lit(False).alias("pivot"))
@@ -278,17 +293,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, pivots: int = 512, visit
             asking.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "component", F.lit(True).alias("pivot"))
         )
         more = rows.join(sets, "id").groupBy("block", "part").applyInArrow(_across(percent), "a long, b long")
-        more = scratch.write(more, "links-across")
-        if more.limit(1).count():
-            component = scratch.write(connected_components(found.unionByName(more), scratch, "again"), "component-again")
-
-    named = classes.select("set_key", "id").join(component, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+        again = connected_components(more, scratch, "again", most_links).select(F.col("id").alias("label"), F.col("component").alias("further"))
+
+    label = F.coalesce("component", "id").alias("label")
+    named = classes.select("set_key", "id", "doc").join(component, "id", "left").select("set_key", "doc", label)
+    if again is not None:
+        named = named.join(again, "label", "left").select("set_key", "doc", F.coalesce("further", "label").alias("label"))
+    if repeated:  # numbers back to documents, and one name for all rows of a doc_id
+        named = named.join(named.groupBy("label").agg(F.min("doc").alias("least")), "label").select("set_key", F.col("least").alias("label"))
+        named = shingled.select("doc_id", "set_key").join(named, "set_key").groupBy("doc_id").agg(F.min("label").alias("label"))
+    by = "doc_id" if repeated else "set_key"
+    out = signed.select("doc_id", "n_shingles", "set_key").join(named.select(by, "label"), by, "left")
     return out.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        F.coalesce("label", "doc_id").alias("component_id"),
+        F.coalesce("label", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
     )
 
 

@@ -64,7 +64,44 @@ def test_family_of_edits_needs_more_than_stars(spark):
             words[rng.randrange(len(words))] = rng.choice(WORDS) + str(rng.randrange(50))
         rows.append((1000 - i, " ".join(words)))
     check(spark, rows)
-    check(spark, rows, pivots=4, visitors=16)  # many small blocks
+    check(spark, rows, block=1_000)  # many small blocks
+    check(spark, rows, most_links=5)  # rounds of contraction
+
+
+def test_texts_of_one_document_are_tied(spark):
+    """Each of a doc_id's texts links it; the texts of different doc_ids cross."""
+    a, b, c = (prose(k, 120) for k in (31, 32, 33))
+    near = lambda x: x + " more"
+    check(spark, [(1, a), (1, b), (2, near(a)), (3, near(b))])
+    check(spark, [(5, a), (5, b), (5, a), (4, b), (4, c), (9, c), (8, near(c)), (7, near(a)), (6, prose(34, 90)), (10, None), (10, near(b)), (3, "")])
+    check(spark, [(1, a)] * 40 + [(1, b)] * 40 + [(2, near(a))] * 3)
+
+
+def test_components_of_any_shape(spark):
+    from grove.llm.graph import connected_components
+    from grove.llm.scratch import Scratch
+
+    rng = random.Random(6)
+    chain = [(i, i + 1) for i in range(60)]
+    star = [(1_000, 1_001 + i) for i in range(60)]
+    bush = [(2_000 + rng.randrange(80), 2_000 + rng.randrange(80)) for _ in range(70)]
+    edges = chain + star + bush + chain[:5]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for bound in (1_000, 20, 0):
+        got = connected_components(df, Scratch(spark, "test"), "shape", bound).collect()
+        assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert connected_components(df.limit(0), Scratch(spark, "test"), "none", 0).count() == 0
 
 
 def test_empty(spark, no_docs):
