@@ -225,11 +225,11 @@ def _across(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 2_000_000, most_links: int = BOUND) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 500_000, most_links: int = BOUND) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     ``block`` bounds the shingles of the sets that one task of the last step
-    compares with others, and of those others twice as many; ``most_links``
+    compares with others, and of those others half as many; ``most_links``
     bounds the links that one task solves (``graph``).
     """
     scratch = Scratch(docs.sparkSession, "near")
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 2_000_000,
             "component",
             (F.col("component") != F.col("main")).alias("pivot"),
             F.xxhash64("family", F.pmod(F.xxhash64("id"), blocks)).alias("block"),
-            F.greatest(F.ceil(F.col("all") / (2 * block)), F.lit(1)).alias("parts"),
+            F.greatest(F.ceil(F.col("all") * 2 / block), F.lit(1)).alias("parts"),
         )
         asking = scratch.write(dealt.filter("pivot").drop("pivot"), "asking")
         wanted = open_.select("key", "id").join(asking.select("id", "block", "parts"), "id").select("key", "block", "parts").distinct()
