@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding in DuckDB, one database per worker.
 
-A text is cut into segments (``segments``), a segment into matches of the
-pattern, and a match, when it is no token itself, starts as rows (word,
+A text is cut into words (``segments``), a word into matches of the pattern,
+and a match, when it is no token itself, starts as rows (word,
 position, token), one a byte. Each round of a recursive query joins rows of
 token and position with the merge table, contracts each word's leftmost pair
 of least rank, and ends when no pair of a word can merge. Decoding joins ids with the
-vocabulary and aggregates the bytes in order of position. Only segments that
+vocabulary and aggregates the bytes in order of position. Only words that
 the worker has not seen lately go through DuckDB; its memory is limited.
 
 The merge table has a row for each way to split a token into two tokens, which
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.segments import SegmentEncoder
+from grove.llm.segments import WordEncoder, slices
 from grove.llm.worker import claim, forgettable
 
 #: A word's tokens are a list between rounds. Pair of tokens as one key; rank and place as one number that sorts by rank, then place.
@@ -121,45 +122,33 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-class _RoundTrip(SegmentEncoder):
-    """Remembers the ids of a segment, or of a match, and the bytes that those ids decode to."""
-
-    MARKS = frozenset(",.;:!?")
+class _RoundTrip(WordEncoder):
+    """The ids of texts, and the bytes that those ids decode to, word by word."""
 
     def __init__(self, bpe: DuckBpe, limit: int):
-        super().__init__(self._segments, limit)
+        super().__init__(self._encoded, limit, pairs=True)
         self.bpe = bpe
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-
-    def matches(self, segment: str) -> list[str]:
-        """The pattern's matches; letters after a space, and one mark after letters, need no search."""
-        if segment[:1] == " ":
-            if segment[1:].isalpha():
-                return [segment]
-            if segment[-1] in self.MARKS and segment[1:-1].isalpha():
-                return [segment[:-1], segment[-1]]
-        return self.bpe.pattern.findall(segment)
-
-    def _segments(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
-        cut = [self.matches(s) for s in segments]
-        new = list(set().union(*cut).difference(self.words))
-        if len(self.words) + len(new) > self.LIMIT:
-            self.words.clear()
-            new = list(set().union(*cut))
-        ids, lengths = self.bpe.encode([x.encode() for x in new])
+
+    def matches(self, word: str) -> list[str]:
+        """The pattern's matches; letters, after a space or not, need no search."""
+        return [word] if word.removeprefix(" ").isalpha() else self.bpe.pattern.findall(word)
+
+    def _encoded(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        cut = [self.matches(x) for x in words]
+        distinct = list(set().union(*cut))
+        ids, lengths = self.bpe.encode([x.encode() for x in distinct])
         data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
         pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
-        self.words.update(zip(new, zip(pieces, self.bpe.decode(ids, lengths), strict=True), strict=True))
-        words = self.words
-        return [words[x[0]] if len(x) == 1 else (b"".join([words[y][0] for y in x]), b"".join([words[y][1] for y in x])) for x in cut]
+        known = dict(zip(distinct, zip(pieces, self.bpe.decode(ids, lengths), strict=True), strict=True))
+        return [known[x[0]] if len(x) == 1 else (b"".join([known[y][0] for y in x]), b"".join([known[y][1] for y in x])) for x in cut]
 
 
 _bpes: dict[tuple[str, str, int], _RoundTrip] = {}
 forgettable(_bpes.clear)
 
 
-#: Segments, and matches, that a worker remembers: about 300 bytes each, three times.
-REMEMBERED = 500_000
+#: Words of each generation that a worker remembers: about 320 bytes each.
+REMEMBERED = 300_000
 
 
 def _round_trip(path: str, pattern: str, remembered: int = REMEMBERED) -> _RoundTrip:
@@ -174,24 +163,16 @@ def _round_trip(path: str, pattern: str, remembered: int = REMEMBERED) -> _Round
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the bytes that the ids decode to.
 
-    A worker remembers up to ``remembered`` segments of each generation; fewer
+    A worker remembers up to ``remembered`` words of each generation; fewer
     take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _round_trip(ranks, pattern, remembered)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                ids, texts = [], []
-                for row in bpe.rows([x or "" for x in batch.column(1).to_pylist()]):
-                    tokens, pieces = zip(*row, strict=True)  # a text has one piece at least
-                    ids.append(b"".join(tokens))
-                    texts.append(b"".join(pieces))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for batch in slices(batches, 1):
+            ids, texts = bpe(batch.column(1))
+            counts = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, texts], ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -23,9 +23,7 @@ recipes', and a document's CRC-32 is combined from its chunks' by the rule for
 concatenated streams.
 ``read_ids`` rebuilds the ids themselves.
 
-Speed: a text is split at single spaces between other characters, where the
-byte-level pattern always splits too, and segments already seen by the worker
-(up to a bound) are not encoded again.
+Speed: see ``segments``.
 
 Defined results: null and empty texts are the end id alone. Null doc_ids sort
 first. Rows that repeat a doc_id are separate documents, in the order of their
@@ -45,21 +43,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grove.llm.scratch import Scratch
-from grove.llm.segments import SegmentEncoder
+from grove.llm.segments import WordEncoder, slices
 from grove.llm.worker import claim, forgettable
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 128, 8192
-#: Segments of each generation that a worker remembers, about 200 bytes each.
+#: Words of each generation that a worker remembers, about 200 bytes each.
 REMEMBERED = 700_000
 
 
 def _joined(tokenizer, dtype: np.dtype):
-    """An ``encode`` that hands over many segments as one text.
+    """An ``encode`` that hands over many words as one text.
 
-    A segment with one space, at its start and before another character, is
+    A word with one space, at its start and before another character, is
     parted from the one before it by the byte-level pattern, and its first id
     is the only one whose bytes start with a space: that is where it starts.
-    Other segments are encoded one by one.
+    Others are encoded one by one.
     """
     n = tokenizer.get_vocab_size()
     opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])  # the byte-level space
@@ -89,11 +87,16 @@ def _joined(tokenizer, dtype: np.dtype):
     return encode
 
 
-_encoders: dict[str, tuple[SegmentEncoder, np.dtype]] = {}
+def _added(tokenizer) -> tuple[str, ...]:
+    """Strings that are tokens wherever they stand, such as special tokens."""
+    return tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+
+
+_encoders: dict[str, tuple[WordEncoder, np.dtype]] = {}
 forgettable(_encoders.clear)
 
 
-def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
+def tokenizer_encoder(path: str) -> tuple[WordEncoder, np.dtype]:
     """An encoder of this worker for a tokenizers file; special tokens in texts are ordinary text to none but the file."""
     if path not in _encoders:
         import os
@@ -103,7 +106,7 @@ def tokenizer_encoder(path: str) -> tuple[SegmentEncoder, np.dtype]:
 
         tokenizer = Tokenizer.from_file(path)
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _encoders[path] = SegmentEncoder(_joined(tokenizer, dtype), REMEMBERED), dtype
+        _encoders[path] = WordEncoder(_joined(tokenizer, dtype), REMEMBERED, whole=_added(tokenizer)), dtype
     return _encoders[path]
 
 
@@ -161,38 +164,40 @@ def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token_store")
         encoder, dtype = tokenizer_encoder(path)
-        tail, size = np.array([end_id], dtype).tobytes(), dtype.itemsize
+        size = dtype.itemsize
         sent: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                rows: list[list] = [[], [], [], [], [], []]
-                texts = [x + tail for x in encoder([x or "" for x in batch.column(1).to_pylist()])]
-                ends = np.cumsum([len(x) // size for x in texts])
-                for doc, data, found in zip(batch.column(0).to_pylist(), texts, _marks_by_text(texts, ends, dtype), strict=True):
-                    last, parts = 0, []
-                    for stop in cuts(found, len(data) // size):
-                        parts.append(data[last * size : stop * size])
-                        last = stop
-                    digests = [hashlib.blake2b(x, digest_size=32).digest() for x in parts]
-                    root = merkle_root(digests)
-                    for seq, (digest, part) in enumerate(zip(digests, parts, strict=True)):
-                        row = (doc, root, seq, digest, len(part) // size, None if digest in sent else part)
-                        sent.add(digest)
-                        for column, value in zip(rows, row, strict=True):
-                            column.append(value)
-                    if len(sent) > 1_000_000:
-                        sent.clear()  # a bound; repeats beyond it are found by the shuffle
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["doc_id", "root", "seq", "digest", "n_ids", "data"])
+        for batch in slices(batches, 1):
+            stream, ends = _with_end(encoder(batch.column(1))[0], end_id, dtype)
+            data = stream.tobytes()
+            places = marks(stream)
+            first = 0
+            docs, seqs, roots, digests, lengths, parts = [], [], [], [], [], []
+            for doc, end, found in zip(batch.column(0).to_pylist(), ends.tolist(), np.split(places, np.searchsorted(places, ends[:-1], "right")), strict=True):
+                stops = [0, *cuts((found - first).tolist(), end - first)]
+                own = [data[(first + a) * size : (first + b) * size] for a, b in zip(stops, stops[1:])]
+                named = [hashlib.blake2b(x, digest_size=32).digest() for x in own]
+                docs += [doc] * len(own)
+                seqs += range(len(own))
+                roots += [merkle_root(named)] * len(own)
+                digests += named
+                lengths += [len(x) // size for x in own]
+                for digest, part in zip(named, own, strict=True):
+                    parts.append(None if digest in sent else part)
+                    sent.add(digest)
+                first = end
+            if len(sent) > 1_000_000:
+                sent.clear()  # a bound; repeats beyond it are found by the shuffle
+            columns = (docs, pa.int64()), (roots, pa.binary()), (seqs, pa.int32()), (digests, pa.binary()), (lengths, pa.int32()), (parts, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "root", "seq", "digest", "n_ids", "data"])
 
     return run
 
 
-def _marks_by_text(texts: list[bytes], ends: np.ndarray, dtype: np.dtype) -> list[list[int]]:
-    """The marks of each of the texts, counted from its own start."""
-    places = marks(np.frombuffer(b"".join(texts), dtype))
-    return [(x - start).tolist() for x, start in zip(np.split(places, np.searchsorted(places, ends[:-1], "right")), [0, *ends[:-1].tolist()], strict=True)]
+def _with_end(texts: pa.Array, end_id: int, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, each with the end id, and where each text ends."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) // dtype.itemsize
+    ids = np.frombuffer(texts.buffers()[2] or b"", dtype)[bounds[0] : bounds[-1]]
+    return np.insert(ids, bounds[1:] - bounds[0], dtype.type(end_id)), bounds[1:] - bounds[0] + np.arange(1, len(texts) + 1)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int | None = None) -> None:

@@ -1,30 +1,41 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from samples import texts
 
-from grove.llm import bpe, token_store
+from grove.llm import bpe, segments, token_store
 from grove.llm.scratch import Scratch
-from grove.llm.segments import SegmentEncoder
 
 ODD = ["", " ", "  ", " a", "a ", "a  b", "\na", "a\n b", "a \n", " \x00", "x\x00 y", "a,b ,c", "!!, x", "é a", "　 a", "a\u0085 b", "  lead"]
 
 
-def test_keys_give_back_the_text():
-    for text in [t for _, t in texts() if t] + ODD:
-        keys = SegmentEncoder.keys(text)
-        assert "".join(k[1:] if k[0] == " " else " " + k for k in keys) == text
+def test_words_give_back_the_text():
+    all_texts = [t for _, t in texts() if t] + ODD
+    words, offsets, order = segments.cut(pa.array(all_texts))
+    words = words.to_pylist()
+    back = ["".join(words[a:b]) for a, b in zip(offsets, offsets[1:])]
+    assert [back[i] for i in order] == all_texts
 
 
 def test_forgets_and_still_encodes():
-    encoder = SegmentEncoder(lambda part: [x.encode() for x in part])
-    encoder.LIMIT = 5
+    encoder = segments.WordEncoder(lambda part: [x.encode() for x in part], 5)
     all_texts = [t for _, t in texts() if t]
-    assert encoder(all_texts) == [t.encode() for t in all_texts]
-    assert encoder(all_texts[::-1]) == [t.encode() for t in all_texts[::-1]]
+    assert encoder(pa.array(all_texts))[0].to_pylist() == [t.encode() for t in all_texts]
+    assert encoder(pa.array(all_texts[::-1]))[0].to_pylist() == [t.encode() for t in all_texts[::-1]]
+    assert encoder(pa.array([None, "a b"]))[0].to_pylist() == [b"", b"a b"]
+    assert encoder(pa.array([], pa.string()))[0].to_pylist() == []
+    assert len(encoder.values.young) <= 5 + len(set(" ".join(all_texts).split()))
+
+
+def test_slices_are_bounded_and_whole():
+    batch = pa.record_batch([pa.array(["x" * n if n >= 0 else None for n in (5, 50, -1, 3, 3, 3, 90)])], ["t"])
+    parts = list(segments.slices(iter([batch, batch.slice(0, 0)]), 0, 9))
+    assert [len(p) for p in parts] == [1, 1, 4, 1] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
 
 
 def test_encoder_agrees_with_the_library():
@@ -33,8 +44,16 @@ def test_encoder_agrees_with_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder, dtype = token_store.tokenizer_encoder(path)
     library = Tokenizer.from_file(path)
-    for text in [t for _, t in texts() if t] + ODD:
-        assert np.frombuffer(encoder([text])[0], dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+    rng = random.Random(4)
+    pieces = ["a", "Bc", "é", "ß", "5", "42", ".", ",!", "'", "'s", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "ж", "中", "\u0301", "ᲀ", "😀", "<|endoftext|>"]
+    made = ["".join(rng.choices(pieces, k=rng.randrange(1, 30))) for _ in range(3_000)]
+    all_texts = [t for _, t in texts() if t] + ODD + made
+    for text, ids in zip(all_texts, encoder(pa.array(all_texts))[0].to_pylist(), strict=True):
+        assert np.frombuffer(ids, dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+    trip = bpe.production_encoder()
+    encoding, both = tiktoken_encoding(), bpe._round_trip(*trip)(pa.array(all_texts))
+    for text, ids, back in zip(all_texts, *(x.to_pylist() for x in both), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text) and back == text.encode(), text[:50]
 
 
 def test_store_round_trip(spark, docs):
@@ -105,8 +124,8 @@ def test_cuts_move_little_with_an_edit():
     pieces = lambda x: {x[a:b].tobytes() for a, b in zip([0, *ends(x)], ends(x))}
     assert len(pieces(ids) & pieces(edited)) >= len(pieces(ids)) - 3
     assert max(np.diff([0, *ends(np.zeros(50_000, np.uint16))])) <= token_store.MOST
-    both = token_store._marks_by_text([ids.tobytes(), edited.tobytes()], np.cumsum([len(ids), len(edited)]), np.dtype("<u2"))
-    assert [token_store.cuts(f, len(x)) for f, x in zip(both, (ids, edited))] == [ends(ids), ends(edited)]
+    stream, stops = token_store._with_end(pa.array([ids.tobytes(), b"", edited.tobytes()]), 7, np.dtype("<u2"))
+    assert stream.tolist() == [*ids, 7, 7, *edited, 7] and stops.tolist() == [len(ids) + 1, len(ids) + 2, len(stream)]
 
 
 def tiktoken_encoding():
