@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from grove.functions.columns import is_root, parse_ancestor_ids
 from grove.operators.marks import mark_leaves, with_parent
+from grove.operators.pedigree import edges, has_one_parent, root
 from grove.plans.folds import keys
+from grove.plans.numbering import numbered
 
 
 def position(df: DataFrame) -> str:
@@ -34,8 +35,12 @@ def has_compact_ids(df: DataFrame) -> DataFrame:
 
 
 def has_contiguous_ids(df: DataFrame) -> DataFrame:
-    """id is the row number: needs ``pos`` to say what that is."""
-    return _result(df, F.col("id") == F.col(position(df)))
+    """id is the row number within a tree, in the order of ``pos`` or, without it, of id."""
+    k, pos = keys(df), position(df)
+    if pos == "id":  # the order of id numbers rows by id just if the ids are 0, 1, 2, ...
+        each = df.groupBy(*k).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"))
+        return _result(each, (F.col("n") == 0) | ((F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n"))))
+    return _result(numbered(df.select(*k, "id", pos), [pos], "_row"), F.col("id") == F.col("_row"))
 
 
 def has_increasing_ids(df: DataFrame) -> DataFrame:
@@ -58,8 +63,16 @@ def is_asexual(df: DataFrame) -> DataFrame:
     return is_sexual(df).select((~F.col("result")).alias("result"))
 
 
+def _with_parents(df: DataFrame, column: str) -> DataFrame:
+    """A row for each parent of each row, with that parent's ``column`` as ``_above``."""
+    k = keys(df)
+    return edges(df).join(df.select(*k, F.col("id").alias("ancestor_id"), F.col(column).alias("_above")), [*k, "ancestor_id"])
+
+
 def is_topologically_sorted(df: DataFrame) -> DataFrame:
-    """No row stands before its ancestor."""
+    """No row stands before one of its ancestors."""
+    if not has_one_parent(df):
+        return _result(_with_parents(df, position(df)), F.col("_above") < F.col(position(df)))
     return _result(with_parent(df, _above=position(df)), F.col("_above") <= F.col(position(df)))
 
 
@@ -67,13 +80,14 @@ def is_chronologically_sorted(df: DataFrame, how: str = "origin_time") -> DataFr
     """``how`` never falls along the rows of a tree."""
     if how not in df.columns:
         return df.limit(0).agg(F.lit(False).alias("result"))
-    before = F.lag(how).over(Window.partitionBy(*keys(df)).orderBy(position(df)))
-    return _result(df.select((before.isNull() | (before <= F.col(how))).alias("_ok")), F.col("_ok"))
+    rows = numbered(df.select(*dict.fromkeys([*keys(df), position(df), how])), [position(df)], "_before", lag_of=how)
+    return _result(rows, F.col("_before").isNull() | (F.col("_before") <= F.col(how)))
 
 
 def find_chronological_inconsistency(df: DataFrame) -> DataFrame:
     """The first row older than its ancestor: one row, null where there is none."""
-    older = with_parent(df, _above="origin_time").filter(F.col("origin_time") < F.col("_above"))
+    above = with_parent(df, _above="origin_time") if has_one_parent(df) else _with_parents(df, "origin_time")
+    older = above.filter(F.col("origin_time") < F.col("_above"))
     return older.agg(F.min_by("id", position(df)).alias("id"))
 
 
@@ -90,8 +104,8 @@ def is_working_format(df: DataFrame) -> DataFrame:
     """ancestor_id is there, parents come first, ids are row numbers."""
     if "ancestor_id" not in df.columns:
         return df.limit(0).agg(F.lit(False).alias("result"))
-    pos = position(df)
-    return _result(with_parent(df, _above=pos), (F.col("_above") <= F.col(pos)) & (F.col("id") == F.col(pos)))
+    # Where ids are row numbers, a parent comes first just if its id is not larger.
+    return has_contiguous_ids(df).crossJoin(has_increasing_ids(df).withColumnRenamed("result", "_rises")).select((F.col("result") & F.col("_rises")).alias("result"))
 
 
 def is_ultrametric(df: DataFrame, *, atol: float = 0.0) -> DataFrame:
@@ -109,7 +123,7 @@ def find_leaf_ids(df: DataFrame) -> DataFrame:
 
 
 def find_root_ids(df: DataFrame) -> DataFrame:
-    return df.filter(is_root()).select(*keys(df), "id")
+    return df.filter(root(df)).select(*keys(df), "id")
 
 
 def validate(df: DataFrame, *, diagnose: bool = True) -> bool:

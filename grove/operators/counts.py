@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grove.functions.columns import is_root
 from grove.operators.marks import mark_num_children, with_parent
+from grove.operators.pedigree import has_one_parent, root
 from grove.plans.folds import keys
 
 
@@ -25,17 +26,28 @@ def count_inner_nodes(df: DataFrame) -> DataFrame:
 
 
 def count_root_nodes(df: DataFrame) -> DataFrame:
-    return _aggregated(df, count=F.count_if(is_root()))
+    return _aggregated(df, count=F.count_if(root(df)))
+
+
+def _asexual(df: DataFrame) -> DataFrame:
+    """With ancestor_id; ValueError for rows with several parents."""
+    from grove.operators.representation import try_add_ancestor_id_col
+
+    out = try_add_ancestor_id_col(df)
+    if not has_one_parent(out):
+        raise ValueError("only for tables without rows of several parents")
+    return out
 
 
 def count_polytomies(df: DataFrame, *, count_root_self: bool = False) -> DataFrame:
     """Nodes with more than two children; ``count_root_self`` takes a root for a child of itself."""
+    df = _asexual(df)
     n = F.col("_n") + (F.when(is_root(), 1).otherwise(0) if count_root_self else F.lit(0))
     return _aggregated(mark_num_children(df, mark_as="_n"), count=F.count_if(n > 2))
 
 
 def count_unifurcations(df: DataFrame) -> DataFrame:
-    return _aggregated(mark_num_children(df, mark_as="_n"), count=F.count_if(F.col("_n") == 1))
+    return _aggregated(mark_num_children(_asexual(df), mark_as="_n"), count=F.count_if(F.col("_n") == 1))
 
 
 def count_unifurcating_roots(df: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grove.functions.columns import ieee_div, is_root
+from grove.operators.pedigree import edges, has_one_parent, root, root_ids
 from grove.plans.folds import down, euler, keys, up
+from grove.plans.numbering import numbered
 
 # ---------------------------------------------------------------- one hop
 
@@ -26,7 +28,7 @@ from grove.plans.folds import down, euler, keys, up
 def with_children(df: DataFrame, **aggregates: Column) -> DataFrame:
     """Join each node with aggregates over its children; null where there are none."""
     k = keys(df)
-    stats = df.filter(~is_root()).groupBy(*k, F.col("ancestor_id").alias("id")).agg(*(c.alias(n) for n, c in aggregates.items()))
+    stats = edges(df).groupBy(*k, F.col("ancestor_id").alias("id")).agg(*(c.alias(n) for n, c in aggregates.items()))
     return df.join(stats, [*k, "id"], "left").select(*df.columns, *aggregates)
 
 
@@ -47,7 +49,7 @@ def _kept(df: DataFrame, out: DataFrame, mark_as: str) -> DataFrame:
 
 
 def mark_roots(df: DataFrame, *, mark_as: str = "is_root") -> DataFrame:
-    return df.withColumn(mark_as, is_root())
+    return df.withColumn(mark_as, root(df))
 
 
 def mark_num_children(df: DataFrame, *, mark_as: str = "num_children") -> DataFrame:
@@ -64,7 +66,7 @@ def mark_oldest_root(df: DataFrame, *, mark_as: str = "is_oldest_root") -> DataF
     """The root with the lowest (origin_time, id), or the lowest id without origin_time."""
     k = keys(df)
     first = F.struct(*(["origin_time"] if "origin_time" in df.columns else []), "id")
-    roots = df.filter(is_root()).groupBy(*k).agg(F.min(first).getField("id").alias("_oldest"))
+    roots = df.filter(root(df)).groupBy(*k).agg(F.min(first).getField("id").alias("_oldest"))
     joined = df.join(roots, k) if k else df.crossJoin(F.broadcast(roots))  # without trees one row
     return _kept(df, joined.withColumn(mark_as, F.col("id") == F.col("_oldest")), mark_as)
 
@@ -135,17 +137,14 @@ def mark_sister(df: DataFrame, *, mark_as: str = "sister_id") -> DataFrame:
 
 def mark_csr_offsets(df: DataFrame, *, mark_as: str = "csr_offsets") -> DataFrame:
     """Exclusive prefix sum of child counts in id order, within a tree."""
-    counted = mark_num_children(df, mark_as="_n")
-    before = Window.partitionBy(*keys(df)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return _kept(df, counted.withColumn(mark_as, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")), mark_as)
+    return _kept(df, numbered(mark_num_children(df.drop(mark_as), mark_as="_n"), ["id"], mark_as, sum_of="_n"), mark_as)
 
 
 def mark_csr_children(df: DataFrame, *, mark_as: str = "csr_children") -> DataFrame:
     """The flat array of children (by parent, then id) along the rows in id order; -1 beyond its end."""
     k = keys(df)
-    by_row, by_parent = Window.partitionBy(*k).orderBy("id"), Window.partitionBy(*k).orderBy("ancestor_id", "id")
-    flat = df.filter(~is_root()).select(*k, F.row_number().over(by_parent).alias("_at"), F.col("id").alias(mark_as))
-    placed = df.drop(mark_as).withColumn("_at", F.row_number().over(by_row))
+    flat = numbered(df.filter(~is_root()).select(*k, "id", "ancestor_id"), ["ancestor_id", "id"], "_at").select(*k, "_at", F.col("id").alias(mark_as))
+    placed = numbered(df.drop(mark_as), ["id"], "_at")
     return _kept(df, placed.join(flat, [*k, "_at"], "left").withColumn(mark_as, F.coalesce(mark_as, F.lit(-1))), mark_as)
 
 
@@ -160,8 +159,12 @@ def mark_node_depth(df: DataFrame, *, mark_as: str = "node_depth") -> DataFrame:
     return down(df, {mark_as: (_step(), "sum")})
 
 
-def mark_root_id(df: DataFrame, *, mark_as: str = "root_id") -> DataFrame:
-    return down(df, {mark_as: ("id", "first")})
+def mark_root_id(df: DataFrame, selector: str = "min", *, mark_as: str = "root_id") -> DataFrame:
+    """The root above each row; of several, for rows with several parents, the one that ``selector`` (min or max) takes."""
+    if has_one_parent(df):
+        return down(df, {mark_as: ("id", "first")})
+    base = df.drop(mark_as)
+    return base.join(root_ids(base, selector).withColumnRenamed("value", mark_as), [*keys(df), "id"])
 
 
 def _cumulative(df: DataFrame, values: str | Column, mark_as: str, fold: str, reverse: bool, skipna: bool) -> DataFrame:

@@ -15,12 +15,12 @@ from grove.functions.columns import is_root
 from grove.operators.checks import position
 from grove.operators.marks import mark_leaves, mark_node_depth, require_bifurcating, siblings
 from grove.plans.folds import down, euler, keys, up
+from grove.plans.numbering import numbered
 
 
 def _ordered(df: DataFrame, *by: Column | str) -> DataFrame:
     k = keys(df)
-    place = F.row_number().over(Window.partitionBy(*k).orderBy(*by)) - 1
-    return df.select(*k, place.cast("long").alias("ord"), "id")
+    return numbered(df, list(by), "ord").select(*k, "ord", "id")
 
 
 def _bare(df: DataFrame, *more: str) -> DataFrame:

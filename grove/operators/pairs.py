@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from grove.operators.marks import mark_leaves, mark_node_depth
 from grove.plans.folds import down, euler, keys, up
+from grove.plans.numbering import numbered
 from grove.plans.scratch import cut
 
 
@@ -59,26 +60,49 @@ def find_mrca_ids(df: DataFrame, pairs: DataFrame, *, mark_as: str = "mrca_id")
     return state.withColumn(mark_as, found).select(*(c for c in pairs.columns if c != mark_as), mark_as)
 
 
-def _one(spark: SparkSession, first: int, second: int) -> DataFrame:
-    return spark.createDataFrame([(first, second)], "first long, second long")
+def _lowest_above(walked: DataFrame, low: int, high: int) -> DataFrame:
+    """One row: the lowest node whose clade holds two places of the walk; null where there is none."""
+    over = (F.col("pre") <= low) & (F.col("pre") + F.col("size") > high)
+    return walked.filter(over).agg(F.max_by("id", "depth").alias("mrca_id"), F.max("depth").alias("depth"))
+
+
+def _lowest_of(walked: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_lowest_above`` the ids of ``asked``; null if one of them is none of the tree's."""
+    ids = asked.select("id").distinct()
+    ends = ids.join(walked.select("id", "pre"), "id", "left").agg(F.min("pre"), F.max("pre"), F.count_if(F.col("pre").isNull())).first()
+    low, high = (-1, -1) if ends[2] or ends[0] is None else ends[:2]
+    return _lowest_above(walked, low, high)
+
+
+def _walked(df: DataFrame, *more: str) -> DataFrame:
+    return cut(euler(df.select(*dict.fromkeys(["id", "ancestor_id", *more]))))[0]
+
+
+def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
+    return spark.createDataFrame([(int(i),) for i in ids], "id long")
 
 
 def find_pair_mrca_id(df: DataFrame, first: int, second: int) -> DataFrame:
     """One row; null in different trees."""
-    return find_mrca_ids(df, _one(df.sparkSession, first, second)).select("mrca_id")
+    return _lowest_of(_walked(df), _ids(df.sparkSession, [first, second])).select("mrca_id")
 
 
 def find_mrca_id(df: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
     """The common ancestor of a set: that of its first and last members in the walk. ValueError for an empty set."""
-    asked = ids if isinstance(ids, DataFrame) else df.sparkSession.createDataFrame([(int(i),) for i in ids], "id long")
-    ends = euler(df.select("id", "ancestor_id")).join(asked.select("id").distinct(), "id", "left_semi").agg(F.min_by("id", "pre"), F.max_by("id", "pre")).first()
-    if ends[0] is None:
+    asked = ids if isinstance(ids, DataFrame) else _ids(df.sparkSession, ids)
+    known = asked.select("id").join(df.select("id"), "id", "left_semi")
+    if not known.limit(1).count():
         raise ValueError("no ids to find a common ancestor of")
-    return find_pair_mrca_id(df, *ends)
+    return _lowest_of(_walked(df), known).select("mrca_id")
 
 
 def find_pair_distance(df: DataFrame, first: int, second: int, *, criterion: str = "origin_time") -> DataFrame:
-    return distances(df, _one(df.sparkSession, first, second), criterion=criterion).select("distance")
+    """One row: c(first) - c(mrca) + c(second) - c(mrca); null in different trees."""
+    walked = _walked(df, criterion)
+    met = _lowest_of(walked, _ids(df.sparkSession, [first, second])).select("mrca_id")
+    value = lambda name: F.max(F.when(F.col("id") == name, F.col(criterion).cast("double")))
+    values = walked.crossJoin(F.broadcast(met)).agg(value(first).alias("a"), value(second).alias("b"), value(F.col("mrca_id")).alias("m"))  # one row
+    return values.select((F.col("a") - F.col("m") + (F.col("b") - F.col("m"))).alias("distance"))
 
 
 def distances(df: DataFrame, pairs: DataFrame, *, criterion: str = "origin_time") -> DataFrame:
@@ -180,11 +204,15 @@ def calc_quartet_distance(ref: DataFrame, cmp: DataFrame, taxon_label_key: str =
 
 def categorize_triplet(df: DataFrame, triplet_ids: list[int]) -> int:
     """Index of the outgroup among three ids, -1 for a polytomy."""
-    x, y, z = triplet_ids
-    pairs = df.sparkSession.createDataFrame([(0, y, z), (1, x, z), (2, x, y)], "n int, first long, second long")
-    met = find_mrca_ids(df, pairs, mark_as="id")
-    depth = mark_node_depth(df.select("id", "ancestor_id"), mark_as="depth")
-    found = {r.n: r.depth for r in met.join(depth, "id").select("n", "depth").collect()}  # three rows
+    walked = _walked(df)
+    at = {r.id: r.pre for r in walked.filter(F.col("id").isin(list(triplet_ids))).select("id", "pre").collect()}  # three rows
+    places = [at[i] for i in triplet_ids]
+    found = {}
+    for n in range(3):
+        low, high = sorted(places[:n] + places[n + 1 :])
+        found[n] = _lowest_above(walked, low, high).first().depth
+    if None in found.values():
+        raise ValueError("the ids are of several trees")
     best = max(found.values())
     return next(n for n, d in found.items() if d == best) if list(found.values()).count(best) == 1 else -1
 
@@ -192,17 +220,15 @@ def categorize_triplet(df: DataFrame, triplet_ids: list[int]) -> int:
 def sample_triplet_comparisons(first: DataFrame, second: DataFrame, taxon_label_key: str, n: int = 1000, seed: int = 0) -> DataFrame:
     """``n`` random triplets of labels with their outgroups in both trees and whether they match, strictly or but for polytomies."""
     spark = first.sparkSession
-    from pyspark.sql.window import Window
-
     leaves = mark_leaves(first, mark_as="_leaf").filter("_leaf").select(F.col(taxon_label_key).alias("label"))
     total = leaves.count()
     if total < 3:
         raise ValueError("fewer than three leaves")
-    numbered = cut(leaves.withColumn("_n", F.row_number().over(Window.orderBy("label")) - 1))[0]
+    numbers = cut(numbered(leaves, ["label"], "_n"))[0]
     draw = spark.range(4 * n).select("id", *(F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(total)).alias(f"_{i}") for i in range(3)))
     draw = draw.filter("_0 <> _1 and _0 <> _2 and _1 <> _2").orderBy("id").limit(n)
     for i in range(3):
-        draw = draw.join(numbered.select(F.col("_n").alias(f"_{i}"), F.col("label").alias(f"label_{i}")), f"_{i}")
+        draw = draw.join(numbers.select(F.col("_n").alias(f"_{i}"), F.col("label").alias(f"label_{i}")), f"_{i}")
     out = cut(draw.select("id", "label_0", "label_1", "label_2"))[0]
     for df, name in ((first, "first"), (second, "second")):
         tips = mark_leaves(df, mark_as="_leaf").filter("_leaf").select(F.col("id").alias("node"), F.col(taxon_label_key).alias("label"))

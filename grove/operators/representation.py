@@ -7,13 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from grove.functions.columns import ANCESTOR, ID, LIST, convert_root_ancestor_token, make_ancestor_id, make_ancestor_list, parse_ancestor_ids
 from grove.operators.checks import is_asexual, position
 from grove.operators.marks import mark_node_depth, mark_num_leaves
+from grove.operators.pedigree import pedigree_depth
 from grove.plans.folds import keys
-from grove.plans.scratch import cut
+from grove.plans.numbering import numbered
 
 
 def make_ancestor_id_col(df: DataFrame) -> DataFrame:
@@ -39,11 +39,10 @@ def assign_root_ancestor_token(df: DataFrame, root_ancestor_token: str) -> DataF
     return df.withColumn(LIST, convert_root_ancestor_token(F.col(LIST), root_ancestor_token))
 
 
-def _renumbered(df: DataFrame, by: list[Column | str], first: Column | None = None) -> DataFrame:
-    """New ids in the order of ``by``, from ``first`` (0); ancestors follow."""
+def _renumbered(df: DataFrame, by: list[Column | str]) -> DataFrame:
+    """New ids from 0 in the order of ``by``; ancestors follow."""
     k = keys(df)
-    number = (F.row_number().over(Window.partitionBy(*k).orderBy(*by)) - 1).cast(df.schema[ID].dataType)
-    new = df.withColumn("_new", number)
+    new = numbered(df, by, "_new").withColumn("_new", F.col("_new").cast(df.schema[ID].dataType))
     names = new.select(*k, F.col(ID).alias("_old"), F.col("_new").alias("_renamed"))
     if ANCESTOR in df.columns:
         out = new.join(names.withColumnRenamed("_old", ANCESTOR), [*k, ANCESTOR], "left")
@@ -70,32 +69,16 @@ def to_working_format(df: DataFrame) -> DataFrame:
     return _renumbered(deep, ["_d", position(df)]).drop("_d")
 
 
-def pedigree_depth(df: DataFrame, *, mark_as: str) -> DataFrame:
-    """The longest way up from an organism with any number of parents, by rounds of relaxation."""
-    k = keys(df)
-    edges, _ = cut(df.select(*k, ID, F.explode(parse_ancestor_ids(F.col(LIST))).alias("_up")))
-    depth, path = cut(df.select(*k, ID, F.lit(0).cast("long").alias("_d")))
-    while True:
-        above = depth.select(*k, F.col(ID).alias("_up"), F.col("_d").alias("_over"))
-        best = edges.join(above, [*k, "_up"]).groupBy(*k, ID).agg((F.max("_over") + 1).alias("_n"))
-        moved, new = cut(depth.join(best, [*k, ID], "left").select(*k, ID, "_d", F.coalesce("_n", F.lit(0).cast("long")).alias("_n")), drop=None)
-        if not moved.filter("_n <> _d").limit(1).count():
-            return df.join(depth.withColumnRenamed("_d", mark_as), [*k, ID])
-        depth, path = cut(moved.select(*k, ID, F.col("_n").alias("_d")), drop=new)
-
-
 def topological_sort(df: DataFrame) -> DataFrame:
     """Parents before children: ``pos`` is the new order, also of organisms with several parents."""
     out = try_add_ancestor_id_col(df)
     deep = mark_node_depth(out, mark_as="_d") if ANCESTOR in out.columns else pedigree_depth(out, mark_as="_d")
-    number = F.row_number().over(Window.partitionBy(*keys(df)).orderBy("_d", position(df))) - 1
-    return deep.withColumn("_pos", number.cast("long")).drop("_d", "pos").withColumnRenamed("_pos", "pos").select(*(c for c in df.columns if c != "pos"), "pos")
+    return numbered(deep, ["_d", position(df)], "_pos").drop("_d", "pos").withColumnRenamed("_pos", "pos").select(*(c for c in df.columns if c != "pos"), "pos")
 
 
 def _placed(df: DataFrame, *by: Column | str) -> DataFrame:
     """``pos`` by an order, within a tree."""
-    number = F.row_number().over(Window.partitionBy(*keys(df)).orderBy(*by)) - 1
-    return df.withColumn("_pos", number.cast("long")).drop("pos").withColumnRenamed("_pos", "pos")
+    return numbered(df, list(by), "_pos").drop("pos").withColumnRenamed("_pos", "pos")
 
 
 def chronological_sort(df: DataFrame, how: str = "origin_time") -> DataFrame:

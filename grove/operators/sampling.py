@@ -18,15 +18,22 @@ from grove.operators.marks import mark_leaves, mark_num_leaves, mask_descendants
 from grove.operators.pairs import calc_mrca_id_vector
 from grove.operators.transforms import prune_extinct_lineages
 from grove.plans.folds import keys
+from grove.plans.numbering import numbered
 
 SAMPLED = "sampled"
 
 
 def _best(df: DataFrame, eligible: Column, n: int, order: list[Column | str], mark_as: str, by: list[Column | str] | None = None) -> DataFrame:
-    """Mark the first ``n`` eligible rows of each tree (and group)."""
-    w = Window.partitionBy(*keys(df), "_eligible", *(by or [])).orderBy(*order)
-    out = df.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-    return out.withColumn(mark_as, F.col("_eligible") & (F.row_number().over(w) <= n)).drop("_eligible")
+    """Mark the first ``n`` eligible rows of each tree (and group); only those are ordered."""
+    k = keys(df)
+    some = df.filter(eligible)
+    if k or by:  # a rank below a bound is cut off before the shuffle too
+        w = Window.partitionBy(*k, *(by or [])).orderBy(*order)
+        best = some.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n)
+    else:
+        best = numbered(some, order, "_at").filter(F.col("_at") < n)
+    best = best.select(*k, "id", F.lit(True).alias("_best"))
+    return df.join(best, [*k, "id"], "left").withColumn(mark_as, F.coalesce("_best", F.lit(False))).select(*(c for c in df.columns if c != mark_as), mark_as)
 
 
 def mark_sample_tips_uniform(df: DataFrame, n_sample: int, *, seed: int = 0, mark_as: str = SAMPLED) -> DataFrame:
@@ -108,7 +115,7 @@ def mark_sample_tips_lineage_stratified(
     stratum = F.col(criterion_stratify)
     if n_sample is not None:
         strata = out.filter(eligible).select(criterion_stratify).distinct()
-        ranked = strata.withColumn("_rank", F.row_number().over(Window.orderBy(criterion_stratify)) - 1)
+        ranked = numbered(strata, [criterion_stratify], "_rank")
         n = strata.count()
         out = out.join(ranked, criterion_stratify, "left")
         stratum = F.floor(F.col("_rank") * (n_sample // n_tips_per_stratum) / max(n, 1))

@@ -17,18 +17,29 @@ from pyspark.sql.window import Window
 from grove.functions.columns import is_root, make_ancestor_list
 from grove.operators.checks import position, topological_sensitivity_warned
 from grove.operators.marks import mark_leaves, mark_node_depth, mark_num_children, siblings, with_parent
+from grove.operators.pedigree import has_one_parent, kept_of_mask, relax, root, without_unifurcations
 from grove.plans.folds import down, euler, keys, up
+from grove.plans.numbering import numbered
 
 
 def _finish(df: DataFrame, out: DataFrame, token: str = "none") -> DataFrame:
     """The columns of ``df``, types of ids as there, lists rebuilt."""
     for c in ("id", "ancestor_id"):
+        if c not in df.columns:
+            continue
         out = out.withColumn(c, F.col(c).cast(df.schema[c].dataType))
-    if "ancestor_list" in df.columns:
+    if "ancestor_list" in df.columns and has_one_parent(df):
         out = out.withColumn("ancestor_list", make_ancestor_list(F.col("id"), F.col("ancestor_id"), token))
     return out.select(df.columns)
 
 
+def _on_root(df: DataFrame, root_id: str, where: Column) -> DataFrame:
+    """Rows that meet the condition hang on the one that column ``root_id`` names."""
+    if has_one_parent(df):
+        return df.withColumn("ancestor_id", F.when(where, F.col(root_id)).otherwise(F.col("ancestor_id")))
+    return df.withColumn("ancestor_list", F.when(where, F.concat(F.lit("["), F.col(root_id).cast("string"), F.lit("]"))).otherwise(F.col("ancestor_list")))
+
+
 def _keep(df: DataFrame, kept: Column) -> DataFrame:
     """Drop rows; what stays hangs on its nearest ancestor that stays, or is a root."""
     marked = df.withColumn("_at", F.when(kept, F.col("id")))
@@ -39,7 +50,9 @@ def _keep(df: DataFrame, kept: Column) -> DataFrame:
 
 @topological_sensitivity_warned(insert=False, delete=True, update=True)
 def collapse_unifurcations(df: DataFrame, root_ancestor_token: str = "none") -> DataFrame:
-    """Without non-root nodes of one child; ids stay."""
+    """Without non-root nodes of one child (and one parent); ids stay."""
+    if not has_one_parent(df):
+        return without_unifurcations(df, root_ancestor_token)
     counted = mark_num_children(df, mark_as="_n")
     return _finish(df, _keep(counted, (F.col("_n") != 1) | is_root()), root_ancestor_token)
 
@@ -86,8 +99,9 @@ def prune_extinct_lineages(df: DataFrame, *, criterion: str = "extant") -> DataF
 
 @topological_sensitivity_warned(insert=False, delete=True, update=True)
 def coarsen_mask(df: DataFrame, mask: str | Column) -> DataFrame:
-    """Masked rows, each on its nearest masked ancestor."""
-    return _finish(df, _keep(df, F.col(mask) if isinstance(mask, str) else mask))
+    """Masked rows, each on its nearest masked ancestor, or on all such with several parents."""
+    mask = F.col(mask) if isinstance(mask, str) else mask
+    return _finish(df, _keep(df, mask)) if has_one_parent(df) else kept_of_mask(df, mask)
 
 
 #: Aggregates of single columns, and columns that have none.
@@ -139,7 +153,7 @@ def _numbered(df: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     k = keys(df)
     largest = df.groupBy(*k).agg(F.max("id").alias("_max"))
     joined = rows.join(largest, k) if k else rows.crossJoin(F.broadcast(largest))  # one row
-    return joined.withColumn("_new", F.col("_max") + F.row_number().over(Window.partitionBy(*k).orderBy(*by))).drop("_max")
+    return numbered(joined, list(by), "_new").withColumn("_new", F.col("_max") + 1 + F.col("_new")).drop("_max")
 
 
 @topological_sensitivity_warned(insert=True, delete=False, update=True)
@@ -172,12 +186,13 @@ def add_global_root(df: DataFrame, root_attrs: Mapping[str, Any] | None = None)
     if set(attrs) & {"id", "ancestor_id", "ancestor_list", *k}:
         raise ValueError("root_attrs cannot name ids")
     top = (df.groupBy(*k) if k else df.groupBy()).agg(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long").alias("id"))
-    root = top.withColumns({"ancestor_id": F.col("id"), **{n: F.lit(v) for n, v in attrs.items()}})
+    own = {"ancestor_id": F.col("id")} if has_one_parent(df) else {"ancestor_list": F.lit("[none]")}
+    new = top.withColumns({**own, **{n: F.lit(v) for n, v in attrs.items()}})
     named = top.withColumnRenamed("id", "_root")
     old = df.join(named, k) if k else df.crossJoin(F.broadcast(named))  # one row
-    old = old.withColumn("ancestor_id", F.when(is_root(), F.col("_root")).otherwise(F.col("ancestor_id"))).drop("_root")
-    out = old.unionByName(root, allowMissingColumns=True)
-    wide = df.limit(0).unionByName(root.limit(0), allowMissingColumns=True)
+    old = _on_root(old, "_root", root(df)).drop("_root")
+    out = old.unionByName(new, allowMissingColumns=True)
+    wide = df.limit(0).unionByName(new.limit(0), allowMissingColumns=True)
     return _finish(wide, out)
 
 
@@ -189,7 +204,7 @@ def join_roots(df: DataFrame) -> DataFrame:
     k = keys(df)
     oldest = mark_oldest_root(df, mark_as="_o").filter("_o").select(*k, F.col("id").alias("_oldest"))
     joined = df.join(oldest, k) if k else df.crossJoin(F.broadcast(oldest))  # one row
-    return _finish(df, joined.withColumn("ancestor_id", F.when(is_root(), F.col("_oldest")).otherwise(F.col("ancestor_id"))))
+    return _finish(df, _on_root(joined, "_oldest", root(df) & (has_one_parent(df) | (F.col("id") != F.col("_oldest")))))
 
 
 @topological_sensitivity_warned(insert=True, delete=False, update=True)
@@ -260,7 +275,7 @@ def reroot_at_id(df: DataFrame, new_root_id: int) -> DataFrame:
     k = keys(df)
     walked = euler(df.select(*k, "id", "ancestor_id"))
     here = walked.filter(F.col("id") == new_root_id).select(*k, F.col("pre").alias("_p"))
-    both = walked.join(F.broadcast(here), k) if k else walked.crossJoin(F.broadcast(here))  # one row
+    both = walked.join(here, k) if k else walked.crossJoin(F.broadcast(here))  # one row
     path = both.filter((F.col("pre") <= F.col("_p")) & (F.col("_p") < F.col("pre") + F.col("size"))).select(*k, "id", "ancestor_id")
     turned = path.filter(~is_root()).select(*k, F.col("ancestor_id").alias("id"), F.col("id").alias("_to"))
     top = here.select(*k, F.lit(new_root_id).cast("long").alias("id"), F.lit(new_root_id).cast("long").alias("_to"))
@@ -282,4 +297,7 @@ def ultrametricize(df: DataFrame, *, method: str = "extend") -> DataFrame:
 def coerce_chronological_consistency(df: DataFrame) -> DataFrame:
     """No node earlier than its ancestors: origin_time is the latest on the way from the root."""
     kind = df.schema["origin_time"].dataType
+    if not has_one_parent(df):
+        times = relax(df, F.col("origin_time")).withColumnRenamed("value", "_t")
+        return df.join(times, [*keys(df), "id"]).withColumn("origin_time", F.col("_t").cast(kind)).select(df.columns)
     return down(df, {"_t": ("origin_time", "max")}).withColumn("origin_time", F.col("_t").cast(kind)).select(df.columns)

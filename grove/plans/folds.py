@@ -160,6 +160,28 @@ def up(df: DataFrame, folds: Folds, *, engine: str = "auto", limit: int = LIMIT)
     return _fold(df, folds, True, engine, limit)
 
 
+def _walk_kernel(descending: bool):
+    def run(table: pa.Table) -> pa.Table:
+        ids, above = (table[c].combine_chunks().cast(pa.int64()).to_numpy() for c in ("id", "ancestor_id"))
+        forest = Forest(ids, above)
+        n = forest.n
+        size = forest.up(np.ones(n, np.int64), "sum")
+        # Children of one parent after one another; so are roots.
+        parent = np.where(forest.is_root, -1, forest.parent)
+        rows = np.lexsort((-ids if descending else ids, parent))
+        passed = np.cumsum(size[rows]) - size[rows]
+        first = np.concatenate(([True], parent[rows][1:] != parent[rows][:-1]))[:n]
+        base = passed[first][np.cumsum(first) - 1] if n else passed
+        step = np.empty(n, np.int64)
+        step[rows] = passed - base
+        pre = forest.down(step + ~forest.is_root, "sum")
+        for name, values in (("size", size), ("pre", pre), ("depth", forest.depth), ("post", pre + size - 1 - forest.depth)):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table
+
+    return run
+
+
 def euler(df: DataFrame, *, descending: bool = False, engine: str = "auto", limit: int = LIMIT) -> DataFrame:
     """Add depth, size, pre and post: numbers of a depth-first walk, children by id, roots by id.
 
@@ -170,6 +192,9 @@ def euler(df: DataFrame, *, descending: bool = False, engine: str = "auto", limi
     if engine == "auto":
         engine = "kernel" if largest_tree(df) <= limit else "doubling"
     k = keys(df)
+    if engine == "kernel":
+        schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in ("size", "pre", "depth", "post"))])
+        return run_kernel(df, _walk_kernel(descending), schema)
     with_size = up(df, {"size": (F.lit(1), "sum")}, engine=engine)
     root = F.col("id") == F.col("ancestor_id")
     # Roots come after one another like children of one parent.

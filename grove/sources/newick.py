@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from grove.functions.columns import is_root, make_ancestor_list
 from grove.operators.marks import mark_origin_time_delta
 from grove.plans.folds import euler, keys
+from grove.plans.numbering import numbered
 
 #: A quoted label, a structural character, a comment's bracket, white space, or other text.
 _TOKEN = re.compile(r"'(?:[^']|'')*'|[(),:;\[\]]|\s+|[^(),:;\[\]\s']+|'")
@@ -135,9 +135,11 @@ def from_newick(
 
 def read_newick(spark: SparkSession, path: str, **options) -> DataFrame:
     """All Newick files at a path, a tree or forest each; ``tree_id`` by the files' names in order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("newick"), F.input_file_name().alias("file"))
-    numbered = files.withColumn("tree_id", F.row_number().over(Window.orderBy("file")) - 1)
-    return from_newick(numbered, **options)
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("newick"), F.col("_metadata.file_path").alias("file"))
+    # Names are numbered without the texts.
+    names = numbered(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")), ["file"], "tree_id")
+    named = files.join(names, "file")
+    return from_newick(named, **options)
 
 
 def _number(x) -> F.Column:
@@ -159,9 +161,9 @@ def as_newick(df: DataFrame, *, taxon_label: str | None = None, sep_forest: str
     named = df.select(*k, "id", "ancestor_id", F.concat(quoted, _number(F.col("origin_time_delta"))).alias("_text"))
     walked = euler(named, descending=True)
     # Before a node's text: the comma to its elder sister, and brackets down from the depth before.
-    before = F.lag("depth", 1).over(Window.partitionBy(*k).orderBy("post"))
-    gap = F.col("depth") - F.coalesce(before, F.lit(0))
-    starts = F.lag("depth", 1).over(Window.partitionBy(*k).orderBy("post")) == 0
+    walked = numbered(walked, ["post"], "_before", lag_of="depth")
+    gap = F.col("depth") - F.coalesce("_before", F.lit(0))
+    starts = F.col("_before") == 0
     open_ = F.when(starts.isNull() | starts, F.lit("")).otherwise(F.lit(","))
     token = (
         F.when(gap < 0, F.concat(F.lit(")"), F.col("_text")))

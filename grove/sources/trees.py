@@ -107,4 +107,9 @@ def aggregate_phylogenies(frames: list[DataFrame], *, offset_ids: bool = True) -
             from grove.functions.columns import make_ancestor_list
 
             moved = moved.withColumn("ancestor_list", make_ancestor_list(F.col("id"), F.col("ancestor_id")))
+    elif "ancestor_list" in out.columns:
+        from grove.functions.columns import parse_ancestor_ids
+        from grove.operators.pedigree import list_text
+
+        moved = moved.withColumn("ancestor_list", list_text(F.transform(parse_ancestor_ids(F.col("ancestor_list")), lambda x: x + F.col("_by"))))
     return moved.select(out.columns)
