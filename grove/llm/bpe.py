@@ -4,7 +4,8 @@ A text is cut into words (``segments``), a word into matches of the pattern,
 and a match, when it is no token itself, starts as rows (word,
 position, token), one a byte. Each round of a recursive query joins rows of
 token and position with the merge table, contracts each word's leftmost pair
-of least rank, and ends when no pair of a word can merge. Decoding joins ids with the
+of least rank (in a long word all places of that pair), and ends when no pair
+of a word can merge. Decoding joins ids with the
 vocabulary and aggregates the bytes in order of position. Only words that
 the worker has not seen lately go through DuckDB; its memory is limited.
 
@@ -12,7 +13,9 @@ The merge table has a row for each way to split a token into two tokens, which
 is what "merge a pair if its bytes are a token" means for a rank file.
 
 Defined results: null and empty texts have no ids and decode to no bytes.
-Rows are independent: nulls, ties and repeated rows need no rule. Extra
+Rows are independent: nulls, ties and repeated rows need no rule. A very long
+text is one row; a match of very many bytes takes as many rounds as it has
+merges of different rank, and memory in proportion to its length. Extra
 columns are ignored. An empty table gives no rows.
 """
 
@@ -43,6 +46,33 @@ WITH RECURSIVE state AS (
     GROUP BY word))
 SELECT word, arg_max(toks, turn) AS toks FROM state GROUP BY word ORDER BY word
 """
+#: Long words: a round contracts all places of a word's pair of least rank, and only a word's last state is kept. Where the merged token
+#: could merge at a lower rank still (``safe`` is false), only the leftmost place is contracted.
+LONG_SQL = """
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+  SELECT word, list(tok ORDER BY pos) AS toks FROM start GROUP BY word
+  UNION
+  SELECT word, list(coalesce(merged, tok) ORDER BY spot) AS toks FROM (
+    SELECT s.word, s.spot, s.tok, c.merged, lag(c.merged) OVER (PARTITION BY s.word ORDER BY s.spot) AS taken
+    FROM (SELECT word, generate_subscripts(toks, 1) AS spot, unnest(toks) AS tok FROM state) s
+    LEFT JOIN (
+      SELECT word, spot, merged FROM (
+        SELECT word, spot, merged, safe, row_number() OVER (PARTITION BY word ORDER BY spot) AS nth,
+               row_number() OVER (PARTITION BY word, island ORDER BY spot) AS place
+        FROM (SELECT word, spot, merged, safe, spot - row_number() OVER (PARTITION BY word ORDER BY spot) AS island
+              FROM (SELECT word, spot, m.merged, m.safe, min(m.merged) OVER (PARTITION BY word) AS best
+                    FROM (SELECT word, unnest(range(1, len(toks))) AS spot, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM state) p
+                    JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt)
+              WHERE merged = best))
+      WHERE CASE WHEN safe THEN place % 2 = 1 ELSE nth = 1 END) c ON c.word = s.word AND c.spot = s.spot
+    WHERE s.word IN (
+      SELECT word FROM (SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM state) p
+      JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt))
+  WHERE taken IS NULL GROUP BY word)
+SELECT word, toks FROM state ORDER BY word
+"""
+#: Bytes from which on a word is long.
+LONG = 64
 DECODE_SQL = """
 SELECT word, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (tok) GROUP BY word ORDER BY word
 """
@@ -72,7 +102,12 @@ class DuckBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         pairs = np.array(left, np.int64) * 2**32 + np.array(right, np.int64)
         self.db.register("pairs", pa.table({"pair": pairs, "merged": np.array(merged, np.int32)}))
-        self.db.execute("CREATE TABLE merges AS FROM pairs ORDER BY pair")
+        self.db.execute("CREATE TABLE made AS FROM pairs")
+        self.db.execute(
+            "CREATE TABLE merges AS SELECT pair, merged, NOT EXISTS (SELECT 1 FROM made x WHERE x.merged < m.merged AND "
+            "(x.pair // 4294967296 = m.merged OR x.pair % 4294967296 = m.merged)) AS safe FROM made m ORDER BY pair"
+        )
+        self.db.execute("DROP TABLE made")
         self.db.register("named", pa.table({"tok": np.fromiter(ranks.values(), np.int32), "hex": [x.hex() for x in ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM named ORDER BY tok")
 
@@ -90,14 +125,17 @@ class DuckBpe:
         lengths = np.array([len(x) for x in words], np.int64)
         start = {"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": _within(lengths).astype(np.int32)}
         start["tok"] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        found = self._run(ENCODE_SQL, start=pa.table(start))["toks"].combine_chunks()
+        found = self._run(LONG_SQL if max(map(len, words)) >= LONG else ENCODE_SQL, start=pa.table(start))["toks"].combine_chunks()
         return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and how many each word has, of byte strings; one that is a token is that token."""
         known = np.array([self.ranks.get(x, -1) for x in words], np.int64)
         rest = np.flatnonzero(known < 0)
-        parts = [self.words([words[i] for i in rest[at : at + 20_000]]) for at in range(0, len(rest), 20_000)]
+        long = np.array([len(words[i]) >= LONG for i in rest], bool)
+        rest = rest[np.argsort(long, kind="stable")]
+        groups = [r[at : at + most] for r, most in ((rest[: len(rest) - long.sum()], 20_000), (rest[len(rest) - long.sum() :], 200)) for at in range(0, len(r), most)]
+        parts = [self.words([words[i] for i in group]) for group in groups]
         lengths = np.ones(len(words), np.int64)
         if parts:
             lengths[rest] = np.concatenate([n for _, n in parts])

@@ -9,7 +9,8 @@ is appended. Only digests, ids and lengths are shuffled, never texts.
 Defined results: a null text counts as empty, and all empty texts are one
 group. Of equal texts the longest original stays, then the smallest doc_id
 (null ids last). Rows that repeat a doc_id with an equal text share one
-decision. Extra columns are ignored. An empty table gives no rows.
+decision. A very long text is one row, of which a digest is kept. Extra columns
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +56,20 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
 
+    def compact(self) -> None:
+        """Rewrite the index as one sorted file a bucket, after many appends."""
+        swap = f"{self.name}_compact_{uuid.uuid4().hex}"
+        old = self.table()
+        # As plain files, dealt anew: one task writes a bucket.
+        files = old.inputFiles()
+        DigestIndex(self.spark, swap, self.buckets).append(self.spark.read.schema(old.schema).parquet(*files) if files else old)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {swap} RENAME TO {self.name}")
+        self.spark.catalog.refreshTable(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Decide on a batch and append its new digests.
 
@@ -94,12 +109,28 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, index: str | None = None, buckets: int = 32) -> DataFrame:
-    """Deduplicate one table against ``index``, or against a new index of its own."""
-    return DigestIndex(docs.sparkSession, index or f"digest_index_{uuid.uuid4().hex}", buckets).add(docs)
+#: Digests of a bucket, 60 bytes each.
+BUCKET_ROWS = 2_000_000
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two, so that an index of this table's size has at most ``BUCKET_ROWS`` digests a bucket in the mean; 8 at least."""
+    return max(8, 1 << max(0, -(-docs.count() // BUCKET_ROWS) - 1).bit_length())
+
+
+def exact_dedup(docs: DataFrame, index: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Deduplicate one table against ``index``, or against a new index of its own, which goes when it has served.
+
+    ``buckets`` of a new index follow from the table's rows unless they are given.
+    """
+    own = DigestIndex(docs.sparkSession, index or f"digest_index_{uuid.uuid4().hex}", buckets or buckets_for(docs))
+    out = own.add(docs)
+    if index is None:
+        own.drop()
+    return out
 
 
-def keep_first_copies(docs: DataFrame, index: str | None = None, buckets: int = 32) -> DataFrame:
+def keep_first_copies(docs: DataFrame, index: str | None = None, buckets: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay; a row repeated with the same id and text stays once."""
     kept = (
         exact_dedup(docs.select("doc_id", "text"), index, buckets)
@@ -107,9 +138,12 @@ def keep_first_copies(docs: DataFrame, index: str | None = None, buckets: int =
         .select("doc_id", "text_sha256")
         .distinct()
     )
-    keyed = docs.withColumn("text_sha256", text_digest(F.col("text")))
-    same = keyed.doc_id.eqNullSafe(kept.doc_id) & (keyed.text_sha256 == kept.text_sha256)
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).drop("text_sha256")
+    key = "_sha256"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, text_digest(F.col("text")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (keyed[key] == kept["text_sha256"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
 QUERY_SQL = r"""

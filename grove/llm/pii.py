@@ -117,8 +117,15 @@ def words(text: str) -> list[str]:
 
 def _contexts(text: str, start: int, stop: int) -> tuple[str | None, str | None]:
     """The words that touch a span, with what is glued to it."""
-    before, after = words(text[max(0, start - 60) : start]), words(text[stop : stop + 60])
-    return (before[-1] if before else None, after[0] if after else None)
+    before = after = None
+    size = 64
+    while before is None or after is None:  # until a word's other end is in sight, or the text's
+        if before is None and (len(found := text[max(0, start - size) : start].split()) > 1 or start <= size):
+            before = words(found[-1])[0] if found else ""
+        if after is None and (len(found := text[stop : stop + size].split()) > 1 or stop + size >= len(text)):
+            after = words(found[0])[0] if found else ""
+        size *= 4
+    return before or None, after or None
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +206,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, accept: float =
     edges = sides[0].unionByName(sides[1]).filter("word is not null")
     # Contexts that different seeds share; all others can have no confidence.
     keys = ["kind", "side", "word"]
-    shared = edges.filter("seed").groupBy(*keys).agg(F.approx_count_distinct("value", 0.02).alias("seeds")).filter(F.col("seeds") >= support)
+    shared = edges.filter("seed").groupBy(*keys).agg(F.count_distinct("value").alias("seeds")).filter(F.col("seeds") >= support)
     shared = scratch.write(shared, "shared")
     if shared.limit(1).count():
         counted = docs.select("text").mapInArrow(_count_words, "word string, n long, before long, after long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "before", "after")))

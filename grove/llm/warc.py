@@ -18,7 +18,8 @@ Defined results: null html is an empty payload. All empty payloads are equal,
 as any others (``least`` sets from how many bytes on payloads are compared).
 Rows that repeat the smallest page_id of a payload are responses too. A null
 page_id is never a revisit's target unless all of that payload are null. Extra
-columns are ignored. An empty table writes and reads nothing.
+columns are ignored. An empty table writes and reads nothing. A very long page
+is one record, held whole by the tasks that write and read it.
 """
 
 from __future__ import annotations
@@ -122,8 +123,11 @@ def write_warc(
         .filter("n > 1")
         .select("sha", "first")
     )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = keyed.join(same, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    # Pages find their first copy without their text, which is dealt by page_id: a common payload fills no task.
+    revisits = keyed.select("page_id", "sha").join(same, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to"))
+    own = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha"))
+    rows = keyed.join(revisits, own, "left").select("page_id", "url", "html", "refers_to")
     return scratch.write(rows.mapInArrow(_writer(folder, date, most, compressed), "file string, records long, bytes long"), "files")
 
 
@@ -270,16 +274,27 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.select("path", "content").mapInArrow(_salvaged(payloads), schema)
 
 
+def logged_gaps(read: DataFrame, scratch: Scratch) -> DataFrame:
+    """The gaps among what was read, as a table of their own: file, offset, length and reason of each."""
+    return scratch.write(read.filter("kind = 'gap'").select("file", "offset", "length", "reason"), "gaps")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "archives")
     folder = scratch.path("warc")
-    written = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder).agg(F.sum("records")).first()[0]
+    files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    written = files.agg(F.sum("records")).first()[0]
     if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    rows = read_warc(spark, folder, payloads=False).filter("kind = 'record'")
+    # An archive of a lost attempt that was cut otherwise is none of those written.
+    read = read_warc(spark, folder, payloads=False).withColumn("name", F.regexp_extract("file", "[^/]*$", 0))
+    read = scratch.write(read.join(files.select(F.col("file").alias("name")), "name", "left_semi").drop("payload"), "read")
+    gaps = logged_gaps(read, scratch)
+    if lost := gaps.count():
+        raise RuntimeError(f"{lost} gaps in archives just written, logged in {scratch.path('gaps')}")
+    rows = read.filter("kind = 'record'")
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(_ID) + 1}) AS bigint)")
     out = rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
-    out = scratch.write(out, "rows")
-    if (read := out.count()) != written:
-        raise RuntimeError(f"{written} records written, {read} read")
+    if (n := out.count()) != written:
+        raise RuntimeError(f"{written} records written, {n} read")
     return out

@@ -2,7 +2,7 @@ import pytest
 from samples import texts
 
 #: Names that operators use inside, and of the pipeline's columns.
-EXTRA = ["lang", "source", "n_chars", "digest", "keep_id", "kept", "key", "id", "row", "word", "n", "component_id", "set_key", "part", "score", "tokens"]
+EXTRA = ["lang", "source", "n_chars", "digest", "keep_id", "kept", "key", "id", "row", "word", "n", "component_id", "set_key", "part", "score", "tokens", "text_sha256", "_sha256"]
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,9 @@ from collections import defaultdict
 
 from samples import texts
 
+from pyspark.sql import functions as F
+
+import grove.llm.exact_dedup as exact_dedup_module
 from grove.llm.exact_dedup import DigestIndex, exact_dedup, keep_first_copies
 
 
@@ -56,5 +59,29 @@ def test_index_persists(spark):
 def test_index_side_of_the_anti_join_is_not_shuffled(spark):
     index = DigestIndex(spark, f"idx_{uuid.uuid4().hex}", 4)
     index.add(spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")).count()
-    plan = index.table().hint("merge").join(index.table().withColumnRenamed("keep_id", "k").select("digest", "k").hint("merge"), "digest")
-    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    groups = spark.range(100).select(F.unhex(F.sha2(F.encode(F.concat(F.lit("t"), F.col("id").cast("string")), "UTF-8"), 256)).alias("digest"))
+    fresh = groups.hint("merge").join(index.table(), "digest", "left_anti")
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("Range") < plan.index("FileScan")
+    assert fresh.count() == 50
+
+
+def test_index_is_compacted_and_dropped(spark):
+    index = DigestIndex(spark, f"idx_{uuid.uuid4().hex}", 2)
+    for at in range(3):
+        index.add(spark.createDataFrame([(i, f"t{i}") for i in range(10 * at, 10 * at + 20)], "doc_id long, text string")).count()
+    before = sorted(map(str, index.table().collect()))
+    index.compact()
+    assert sorted(map(str, index.table().collect())) == before and len(index.table().inputFiles()) <= 2
+    assert index.add(spark.createDataFrame([(99, "t0"), (100, "new")], "doc_id long, text string")).filter("kept").count() == 1
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_own_index_goes_and_buckets_follow_rows(spark, docs, monkeypatch):
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    before = tables()
+    assert exact_dedup(docs).count() == len(texts()) and tables() == before
+    assert exact_dedup_module.buckets_for(docs) == 8
+    monkeypatch.setattr(exact_dedup_module, "BUCKET_ROWS", 3)
+    assert exact_dedup_module.buckets_for(docs) == 16

@@ -96,3 +96,14 @@ def test_a_label_glued_to_other_words_too_tells_little(spark):
     numbers = [f"{i:03d}-{i * 7 % 1000:03d}-{i * 13 % 10000:04d}" for i in range(50)]
     rows = [(i, f"line <+1 {n} {i}x <and <so <on") for i, n in enumerate(numbers[:40])] + [(100 + i, f"sum <{n} y{i}") for i, n in enumerate(numbers[40:])]
     assert all(r.n_added == 0 for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_contexts_are_whole_words():
+    from grove.llm.pii import _contexts
+
+    long = "w" * 1_000
+    text = f"first {long}{' ' * 200}SPAN{' ' * 300}{long}9 last"
+    at = text.index("SPAN")
+    assert _contexts(text, at, at + 4) == (long, long + "0")
+    assert _contexts("SPAN", 0, 4) == (None, None) and _contexts("  SPAN ", 2, 6) == (None, None)
+    assert _contexts("a Tel:SPAN, b", 6, 10) == ("tel:", ",")

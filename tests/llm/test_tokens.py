@@ -148,3 +148,14 @@ def test_bpe_agrees_with_tiktoken_and_decodes(spark, docs):
 
 def test_bpe_of_nothing(no_docs):
     assert bpe.encode_decode(no_docs, *bpe.production_encoder()).count() == 0
+
+
+def test_long_matches_are_exact_and_bounded():
+    """All places of a pair at once give what one at a time gives; no state but the last is kept."""
+    rng, encoding = random.Random(1), tiktoken_encoding()
+    trip = bpe._round_trip(*bpe.production_encoder())
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    made = [letters(n) for n in (63, 64, 65, 300, 3_000)] + ["a" * 20_000, "ab" * 5_000, "größe" * 400, "7" * 500, "=" * 700, letters(90) + "!" * 90]
+    ids, back = trip(pa.array(made))
+    for text, got, bytes_ in zip(made, ids.to_pylist(), back.to_pylist(), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == encoding.encode_ordinary(text) and bytes_ == text.encode()

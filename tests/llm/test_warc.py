@@ -100,3 +100,15 @@ def test_a_lost_record_fails_the_query(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "read_warc", lambda *a, **b: read(*a, **b).filter("id <> 'urn:page:2'"))
     with pytest.raises(RuntimeError, match="2 records written, 1 read"):
         warc.op5_warc(spark, str(tmp_path))
+
+
+def test_gaps_are_logged_and_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i % 4}</p>") for i in range(20)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: ("response", None) if i < 4 else ("revisit", i % 4) for i in range(20)}
+    whole, hurt = warc.member(some(3)[0]), bytearray(warc.member(some(3)[1]))
+    hurt[40] ^= 1
+    (tmp_path / "a.warc.gz").write_bytes(whole + bytes(hurt) + whole)
+    gaps = warc.logged_gaps(warc.read_warc(spark, str(tmp_path / "a.warc.gz")), Scratch(spark, "test")).collect()
+    assert [(g.offset, g.length) for g in gaps] == [(len(whole), len(hurt))] and gaps[0].reason
