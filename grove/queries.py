@@ -235,8 +235,8 @@ for _name, _more in (
     query(
         f"mark_{_column}",
         "heap",
-        lambda df, c=_column: getattr(marks, f"mark_{c}")(df).filter(~F.isnan(c)).select("id", c),
-        f"SELECT * FROM (SELECT t.id, {_RATIO.format(a='a.x', b='b.x')} AS {_column} FROM t JOIN sis ON sis.id = t.id JOIN du a ON a.id = t.id JOIN du b ON b.id = sis.s) WHERE NOT isnan({_column})",
+        lambda df, c=_column: getattr(marks, f"mark_{c}")(df).select("id", F.when(~F.isnan(c), F.col(c)).alias(c)),  # NaN as null in both
+        f"SELECT id, CASE WHEN NOT isnan({_column}) THEN {_column} END AS {_column} FROM (SELECT t.id, {_RATIO.format(a='a.x', b='b.x')} AS {_column} FROM t JOIN sis ON sis.id = t.id JOIN du a ON a.id = t.id JOIN du b ON b.id = sis.s)",
         _more,
     )
 
@@ -258,21 +258,35 @@ one("sum_origin_time_deltas", "recursive", counts.sum_origin_time_deltas, "SELEC
 query("count_leaf_nodes_by_tree", "conv", counts.count_leaf_nodes, "SELECT tree_id, count(*) FILTER (id NOT IN (SELECT ancestor_id FROM t u WHERE u.tree_id = t.tree_id AND u.id <> u.ancestor_id)) AS count FROM t GROUP BY 1")
 
 # ---------------------------------------------------------------- predicates and search
+_CONTIGUOUS = "(SELECT min(id) = 0 AND max(id) = count(*) - 1 AND count(DISTINCT id) = count(*) FROM t)"
 for _name, _tree, _sql in (
     ("has_compact_ids", "recursive", "(SELECT max(id) = count(*) - 1 FROM t)"),
-    ("has_contiguous_ids", "recursive", "true"),
+    ("has_contiguous_ids", "recursive", _CONTIGUOUS),
     ("has_increasing_ids", "sales", "(SELECT bool_and(id >= ancestor_id) FROM t)"),
     ("has_multiple_roots", "sales", "(SELECT count(*) >= 2 FROM t WHERE id = ancestor_id)"),
-    ("is_asexual", "sales", "true"),
-    ("is_sexual", "sales", "false"),
     ("is_topologically_sorted", "sales", "(SELECT bool_and(ancestor_id <= id) FROM t)"),
     ("is_chronologically_sorted", "heap", "(SELECT bool_and(x) FROM (SELECT origin_time >= lag(origin_time, 1, origin_time) OVER (ORDER BY id) AS x FROM t))"),
     ("is_chronologically_ordered", "heap", "(SELECT bool_and(t.origin_time >= p.origin_time) FROM t JOIN t p ON p.id = t.ancestor_id)"),
     ("is_strictly_bifurcating", "heap", "(SELECT bool_and(n = 2) FROM ch)"),
-    ("is_working_format", "recursive", "true"),
+    ("is_working_format", "recursive", f"{_CONTIGUOUS} AND (SELECT bool_and(ancestor_id <= id) FROM t)"),
     ("is_ultrametric", "sales", "(SELECT max(origin_time) - min(origin_time) <= 0 FROM t WHERE id IN (SELECT id FROM lf))"),
 ):
     one(_name, _tree, getattr(checks, _name), f"SELECT {_sql} AS result")
+# The same where the answer is the other one.
+_BACK = lambda df: df.withColumn("pos", -F.col("id"))
+for _name, _tree, _change, _sql in (
+    ("has_contiguous_ids", "sales", lambda df: df, _CONTIGUOUS),
+    ("has_contiguous_ids", "heap", _BACK, "(SELECT bool_and(id = r - 1) FROM (SELECT id, row_number() OVER (ORDER BY -id) AS r FROM t))"),
+    ("is_working_format", "sales", lambda df: df, f"{_CONTIGUOUS} AND (SELECT bool_and(ancestor_id <= id) FROM t)"),
+    ("has_compact_ids", "sales", lambda df: df, "(SELECT max(id) = count(*) - 1 FROM t)"),
+    ("has_multiple_roots", "heap", lambda df: df, "(SELECT count(*) >= 2 FROM t WHERE id = ancestor_id)"),
+    ("is_strictly_bifurcating", "recursive", lambda df: df, "(SELECT bool_and(n = 2) FROM ch)"),
+    ("is_topologically_sorted", "heap", _BACK, "(SELECT bool_and(-ancestor_id <= -id) FROM t)"),
+    ("is_chronologically_sorted", "heap", _BACK, "(SELECT bool_and(x) FROM (SELECT origin_time >= lag(origin_time, 1, origin_time) OVER (ORDER BY -id) AS x FROM t))"),
+    ("is_ultrametric", "recursive", lambda df: df, "(SELECT max(origin_time) - min(origin_time) <= 0 FROM t WHERE id IN (SELECT id FROM lf))"),
+):
+    _other = f"{_name}_{_tree}" + "_reversed" * (_change is _BACK)
+    one(_other, _tree, lambda df, f=getattr(checks, _name), c=_change: f(c(df)), f"SELECT {_sql} AS result")
 query(
     "find_chronological_inconsistency",
     "recursive",
@@ -325,28 +339,16 @@ query(
     lambda df: pairs.calc_mrca_id_vector(df, target_id=1003),
     "SELECT t.id, coalesce((SELECT arg_min(a.anc, a.dist) FROM cl a WHERE a.id = t.id AND a.anc IN (SELECT anc FROM cl WHERE id = 1003)), -1) AS mrca_id FROM t",
 )
-_SMALL = lambda df: df.filter("id < 101")
-_PAIRS = """pr AS (SELECT x.id AS first, y.id AS second, arg_max(a.anc, dp.d) AS m FROM t x, t y, cl a, cl b, dp
-  WHERE x.id < 101 AND y.id < 101 AND a.id = x.id AND b.id = y.id AND a.anc = b.anc AND dp.id = a.anc GROUP BY 1, 2)"""
-query("calc_mrca_id_matrix", "heap", lambda df: pairs.calc_mrca_id_matrix(_SMALL(df)), "SELECT first, second, m AS mrca_id FROM pr", _PAIRS)
-query(
-    "calc_distance_matrix",
-    "heap",
-    lambda df: pairs.calc_distance_matrix(_SMALL(df)),
-    "SELECT first, second, a.origin_time - c.origin_time + (b.origin_time - c.origin_time) AS distance FROM pr JOIN t a ON a.id = first JOIN t b ON b.id = second JOIN t c ON c.id = m",
-    _PAIRS,
-)
-
-# All pairs of a whole table, within each tree; the two above have those of the nodes below 101 alone.
+# All pairs of a whole table, within each tree.
 _TURNS = "FROM t x JOIN t y ON x.tree_id = y.tree_id"
 query(
-    "calc_mrca_id_matrix_whole",
+    "calc_mrca_id_matrix",
     "conv",
     pairs.calc_mrca_id_matrix,
     f"SELECT x.tree_id, x.id AS first, y.id AS second, least(x.id, y.id) AS mrca_id {_TURNS}",
 )
 query(
-    "calc_distance_matrix_whole",
+    "calc_distance_matrix",
     "conv",
     pairs.calc_distance_matrix,
     f"SELECT x.tree_id, x.id AS first, y.id AS second, abs(x.origin_time - y.origin_time) AS distance {_TURNS}",
@@ -506,8 +508,8 @@ query("calc_clade_trait_count", "recursive", lambda df: traits.calc_clade_trait_
 query(
     "calc_clade_trait_frequency",
     "recursive",
-    lambda df: traits.calc_clade_trait_frequency(df, mask_trait_absent=_NO(), mask_trait_present=_YES()).filter(~F.isnan("trait_frequency")).select("id", "trait_frequency"),
-    "SELECT id, p / (p + a)::DOUBLE AS trait_frequency FROM fr WHERE p + a > 0",
+    lambda df: traits.calc_clade_trait_frequency(df, mask_trait_absent=_NO(), mask_trait_present=_YES()).select("id", F.when(~F.isnan("trait_frequency"), F.col("trait_frequency")).alias("trait_frequency")),
+    "SELECT id, CASE WHEN p + a > 0 THEN p / (p + a)::DOUBLE END AS trait_frequency FROM fr",
     _FREQ,
 )
 query(
@@ -629,6 +631,103 @@ def _spop(spark: SparkSession, sf_dir: str) -> DataFrame:
 _on("from_avida_spop", _spop, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN '[none]' ELSE '[' || (n_nationkey - 1) || ']' END AS ancestor_list, n_regionkey::BIGINT AS origin_time FROM nation")
 
 
+# ---------------------------------------------------------------- rows with several parents
+def pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales tree where customers and orders have a second parent, a nation, unless it is the first; ancestor_list alone."""
+    rows = sales(spark, sf_dir).select("id", F.when(F.col("id") != F.col("ancestor_id"), F.col("ancestor_id")).alias("a"))
+    second = F.when((F.col("id") >= 1000) & (F.col("id") % 3 > 0), F.col("id") % 25 + 100)
+    rows = rows.withColumn("b", F.when(second != F.col("a"), second))
+    text = F.concat(F.lit("["), F.concat_ws(", ", F.col("a").cast("string"), F.col("b").cast("string")), F.lit("]"))
+    return rows.select("id", F.when(F.col("a").isNull(), "[none]").otherwise(text).alias("ancestor_list"), (F.col("id") * 37 % 101).cast("double").alias("origin_time"))
+
+
+_PEDIGREE = """
+f AS (SELECT id, CASE WHEN id <> ancestor_id THEN ancestor_id END AS a, CASE WHEN id >= 1000 AND id % 3 > 0 THEN id % 25 + 100 END AS s FROM ({sales})),
+t AS (SELECT id, a, CASE WHEN s <> a THEN s END AS b, (id * 37 % 101)::DOUBLE AS origin_time FROM f),
+e AS (SELECT id, a AS up FROM t WHERE a IS NOT NULL UNION ALL SELECT id, b FROM t WHERE b IS NOT NULL),
+cl AS (SELECT id AS anc, id FROM t UNION SELECT e.up, cl.id FROM cl JOIN e ON e.id = cl.anc),
+rf AS (SELECT up AS id, count(*) AS n FROM e GROUP BY 1),
+li AS (SELECT id, CASE WHEN a IS NULL THEN '[none]' WHEN b IS NULL THEN '[' || a || ']' ELSE '[' || a || ', ' || b || ']' END AS ancestor_list FROM t)"""
+
+
+def pedigree_query(name: str, make: Callable[[DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    QUERIES[f"{name}_pedigree"] = lambda spark, sf_dir: make(pedigree(spark, sf_dir))
+    ORACLES[f"{name}_pedigree"] = f"WITH RECURSIVE {_PEDIGREE.format(sales=TREES['sales'])}{',' + more if more else ''} {sql}"
+
+
+_LEAF = "id NOT IN (SELECT up FROM e)"
+pedigree_query("is_sexual", checks.is_sexual, "SELECT count(b) > 0 AS result FROM t")
+pedigree_query("is_asexual", checks.is_asexual, "SELECT count(b) = 0 AS result FROM t")
+pedigree_query("is_asexual_orders_left_out", lambda df: checks.is_asexual(df.filter("id < 1000")), "SELECT count(b) = 0 AS result FROM t WHERE id < 1000")
+pedigree_query("mark_leaves", lambda df: marks.mark_leaves(df).select("id", "is_leaf"), f"SELECT id, {_LEAF} AS is_leaf FROM t")
+pedigree_query("mark_roots", lambda df: marks.mark_roots(df).select("id", "is_root"), "SELECT id, a IS NULL AS is_root FROM t")
+pedigree_query("find_leaf_ids", checks.find_leaf_ids, f"SELECT id FROM t WHERE {_LEAF}")
+pedigree_query("find_root_ids", checks.find_root_ids, "SELECT id FROM t WHERE a IS NULL")
+pedigree_query("count_leaf_nodes", counts.count_leaf_nodes, f"SELECT count(*) AS count FROM t WHERE {_LEAF}")
+pedigree_query("count_inner_nodes", counts.count_inner_nodes, "SELECT count(DISTINCT up) AS count FROM e")
+pedigree_query("count_root_nodes", counts.count_root_nodes, "SELECT count(*) AS count FROM t WHERE a IS NULL")
+for _how in ("min", "max"):
+    pedigree_query(
+        f"mark_root_id_{_how}",
+        lambda df, h=_how: marks.mark_root_id(df, h).select("id", "root_id"),
+        f"SELECT cl.id, {_how}(anc) AS root_id FROM cl JOIN t r ON r.id = anc AND r.a IS NULL GROUP BY 1",
+    )
+pedigree_query("is_topologically_sorted", checks.is_topologically_sorted, "SELECT bool_and(up < id) AS result FROM e")
+pedigree_query("is_topologically_sorted_reversed", lambda df: checks.is_topologically_sorted(_BACK(df)), "SELECT bool_and(-up < -id) AS result FROM e")
+_OLDER = "FROM e JOIN t USING (id) JOIN t p ON p.id = e.up WHERE t.origin_time < p.origin_time"
+pedigree_query("find_chronological_inconsistency", checks.find_chronological_inconsistency, f"SELECT min(t.id) AS id {_OLDER}")
+pedigree_query("is_chronologically_ordered", checks.is_chronologically_ordered, f"SELECT count(*) = 0 AS result {_OLDER}")
+_LATEST = "SELECT cl.id, max(x.origin_time) AS origin_time FROM cl JOIN t x ON x.id = cl.anc GROUP BY 1"
+pedigree_query("coerce_chronological_consistency", lambda df: transforms.coerce_chronological_consistency(df).select("id", "origin_time"), _LATEST)
+pedigree_query(
+    "is_chronologically_ordered_coerced",
+    lambda df: checks.is_chronologically_ordered(transforms.coerce_chronological_consistency(df)),
+    "SELECT count(*) = 0 AS result FROM e JOIN m USING (id) JOIN m p ON p.id = e.up WHERE m.origin_time < p.origin_time",
+    f"m AS ({_LATEST})",
+)
+pedigree_query(
+    "collapse_unifurcations",
+    lambda df: transforms.collapse_unifurcations(df).select("id", "ancestor_list"),
+    """SELECT t.id, CASE WHEN t.a IS NULL THEN '[none]' WHEN t.b IS NULL THEN '[' || x.dst || ']' ELSE '[' || x.dst || ', ' || y.dst || ']' END AS ancestor_list
+    FROM t LEFT JOIN ends x ON x.id = t.a LEFT JOIN ends y ON y.id = t.b WHERE t.id NOT IN (SELECT id FROM go)""",
+    """go AS (SELECT t.id, t.a FROM t JOIN rf ON rf.id = t.id WHERE t.b IS NULL AND t.a IS NOT NULL AND rf.n = 1),
+    wy AS (SELECT id, id AS dst FROM t UNION SELECT wy.id, go.a FROM wy JOIN go ON go.id = wy.dst),
+    ends AS (SELECT id, dst FROM wy WHERE dst NOT IN (SELECT id FROM go))""",
+)
+pedigree_query(
+    "coarsen_mask",
+    lambda df: transforms.coarsen_mask(df, F.col("id") % 3 < 2).select("id", "ancestor_list"),
+    """SELECT t.id, coalesce('[' || string_agg(DISTINCT up::VARCHAR, ', ' ORDER BY up::VARCHAR) FILTER (up % 3 < 2) || ']', '[none]') AS ancestor_list
+    FROM t LEFT JOIN wy USING (id) WHERE t.id % 3 < 2 GROUP BY t.id""".replace("string_agg(DISTINCT up::VARCHAR, ', ' ORDER BY up::VARCHAR) FILTER (up % 3 < 2)", "array_to_string(list_sort(list(DISTINCT up) FILTER (up % 3 < 2)), ', ')"),
+    "wy AS (SELECT id, up FROM e WHERE id % 3 < 2 UNION SELECT wy.id, e.up FROM wy JOIN e ON e.id = wy.up WHERE wy.up % 3 = 2)",
+)
+pedigree_query(
+    "add_global_root",
+    lambda df: transforms.add_global_root(df, {"origin_time": -1.0}),
+    """SELECT id, CASE WHEN a IS NULL THEN '[' || (SELECT max(id) + 1 FROM t) || ']' ELSE ancestor_list END AS ancestor_list, origin_time FROM t JOIN li USING (id)
+    UNION ALL SELECT max(id) + 1, '[none]', -1.0 FROM t""",
+)
+pedigree_query(
+    "join_roots",
+    lambda df: transforms.join_roots(df).select("id", "ancestor_list"),
+    "SELECT id, CASE WHEN a IS NULL AND id <> (SELECT arg_min(id, origin_time) FROM t WHERE a IS NULL) THEN '[' || (SELECT arg_min(id, origin_time) FROM t WHERE a IS NULL) || ']' ELSE ancestor_list END AS ancestor_list FROM t JOIN li USING (id)",
+)
+pedigree_query(
+    "aggregate_phylogenies",
+    lambda df: trees.aggregate_phylogenies([df, df]).select("id", "ancestor_list"),
+    """SELECT id, ancestor_list FROM li UNION ALL SELECT id + m, CASE WHEN a IS NULL THEN '[none]' WHEN b IS NULL THEN '[' || (a + m) || ']' ELSE '[' || (a + m) || ', ' || (b + m) || ']' END
+    FROM t, (SELECT max(id) + 1 AS m FROM t)""",
+)
+pedigree_query(
+    "topological_sort",
+    lambda df: representation.topological_sort(df).select("id", "pos"),
+    "SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS pos FROM (SELECT id, max(d) AS d FROM dp GROUP BY id)",
+    "dp AS (SELECT id, 0 AS d FROM t WHERE a IS NULL UNION SELECT e.id, dp.d + 1 FROM e JOIN dp ON dp.id = e.up)",
+)
+QUERIES["make_empty"] = lambda spark, sf_dir: trees.make_empty(spark).select("id", "ancestor_id")
+ORACLES["make_empty"] = "SELECT 0::BIGINT AS id, 0::BIGINT AS ancestor_id WHERE false"
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
