@@ -1,6 +1,7 @@
 """Newick text, read and written.
 
-Reading takes a table of texts, a tree or forest each; a text is parsed in one
+Reading takes a table of texts, a tree or forest each; a text is parsed by
+passes over arrays of its bytes, or, with quotes, comments or errors, in one
 pass by whole tokens. Ids are given at each opening bracket and comma, so
 parents come first and ids are row numbers. Writing pads each node's token
 with the brackets that its depth asks for and strings the tokens of a tree
@@ -15,6 +16,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,77 @@ def parse_newick(text: str, replace_unquoted: Mapping[str, str] | None = None) -
     return ancestors, [x.rstrip(" ") for x in labels], lengths, trees + (current >= 0)
 
 
+#: Codes of structural characters; a tree's start is one more.
+_CODES = np.zeros(256, np.uint8)
+_OPEN, _COMMA, _CLOSE, _COLON, _END, _START = range(1, 7)
+_CODES[list(b"(,):;")] = [_OPEN, _COMMA, _CLOSE, _COLON, _END]
+_AROUND = re.compile(r"\s*([(),:;])\s*")
+
+
+def _sliced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    lengths = end - start
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    at = np.repeat(start - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at].tobytes()))
+
+
+def parse_arrays(text: str) -> tuple[np.ndarray, pa.Array, pa.Array, int] | None:
+    """What ``parse_newick`` gives, by passes over arrays; None for texts that need that one: quotes, comments, errors, odd forms.
+
+    A bracket opens below the node before it, and what stands between two
+    structural characters belongs to the node that the first of them begins or
+    ends. Brackets are matched by their depth: in the order of (depth, place)
+    commas and closing brackets follow their opening one.
+    """
+    if "'" in text or "[" in text or "]" in text:
+        return None
+    if any(c.isspace() for c in set(text)):
+        text = _AROUND.sub(r"\1", text.strip())
+        if any(c.isspace() and c != " " for c in set(text)):
+            return None
+    data = np.frombuffer(text.encode(), np.uint8)
+    place = np.flatnonzero(_CODES[data])
+    ends = place[_CODES[data[place]] == _END]
+    starts = np.concatenate(([0], ends + 1))
+    starts = starts[(starts < len(data)) & (data[np.minimum(starts, max(len(data) - 1, 0))] != ord(";"))] if len(data) else starts[:0]
+    if not len(starts):
+        return None
+    order = np.argsort(np.concatenate((2 * place + 1, 2 * starts)), kind="stable")
+    kind = np.concatenate((_CODES[data[place]], np.full(len(starts), _START, np.uint8)))[order]
+    begin = np.concatenate((place + 1, starts))[order]
+    end = np.concatenate((np.concatenate((place, starts))[order][1:], [len(data)]))
+    depth = np.cumsum((kind == _OPEN).astype(np.int64) - (kind == _CLOSE))
+    level = depth + (kind == _CLOSE)
+    before = np.concatenate(([0], kind[:-1]))
+    opens, empty = kind == _OPEN, begin == end
+    made = opens | (kind == _COMMA) | (kind == _START)
+    fine = depth.min() >= 0 and depth[-1] == 0 and not depth[kind == _END].any() and not (level[kind == _COMMA] < 1).any()
+    fine = fine and np.isin(before[opens], (_OPEN, _COMMA, _START)).all() and empty[np.flatnonzero(opens) - 1].all()
+    if not fine or ((kind == _COLON) & ((before == _COLON) | (before == _END))).any():
+        return None
+    ids = np.cumsum(made) - 1
+    n = int(ids[-1]) + 1
+    within = np.flatnonzero(opens | (kind == _COMMA) | (kind == _CLOSE))
+    within = within[np.argsort(level[within], kind="stable")]
+    opener = np.zeros(len(kind), np.int64)
+    opener[within] = within[np.maximum.accumulate(np.where(opens[within], np.arange(len(within)), 0))] if len(within) else 0
+    above = ids[opener] - 1  # the node below which the bracket opens
+    ancestors = np.where(kind == _START, ids, np.where(opens, ids - 1, above))[made]
+    node = np.where(kind == _CLOSE, above, ids)
+    colon = np.flatnonzero(kind == _COLON)
+    node[colon] = node[colon - 1]
+    label, length = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+    for which in (made, kind == _CLOSE):
+        label[:, node[which]] = begin[which], end[which]
+    length[:, node[colon]] = begin[colon], end[colon]
+    try:
+        numbers = _sliced(data, *length)
+        numbers = pc.cast(pc.if_else(pc.equal(numbers, ""), pa.scalar(None, pa.string()), numbers), pa.float64())
+    except pa.ArrowInvalid:
+        return None
+    return ancestors, pc.utf8_rtrim(_sliced(data, *label), characters=" "), numbers, len(starts)
+
+
 def from_newick(
     texts: DataFrame | str,
     spark: SparkSession | None = None,
@@ -113,14 +186,15 @@ def from_newick(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, text in zip(batch["tree_id"].to_pylist(), batch["newick"].to_pylist(), strict=True):
-                ancestors, labels, lengths, trees = parse_newick(text or "", swap)
+                ancestors, labels, lengths, trees = (None if swap else parse_arrays(text or "")) or parse_newick(text or "", swap)
                 if trees > 1 and not allow_forest:
                     if allow_forest is False:
                         raise NewickError("several trees in a text")
                     warnings.warn("several trees in a text: a forest", stacklevel=2)
-                n, delta = len(ancestors), pa.array(lengths, pa.float64())
+                n, delta = len(ancestors), lengths if isinstance(lengths, pa.Array) else pa.array(lengths, pa.float64())
+                labels = labels if isinstance(labels, pa.Array) else pa.array(labels, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, tree)), pa.array(np.arange(n)), pa.array(ancestors, pa.int64()), pa.array(labels, pa.string()), delta, delta],
+                    [pa.array(np.full(n, tree)), pa.array(np.arange(n)), pa.array(ancestors, pa.int64()), labels, delta, delta],
                     ["tree_id", "id", "ancestor_id", "taxon_label", "origin_time_delta", "branch_length"],
                 )
 
