@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from grove.functions.columns import ieee_div, is_root
 from grove.operators.marks import _bifurcating, _kept, mark_is_left_child, siblings, with_parent
-from grove.plans.folds import run_kernel, up
+from grove.plans.folds import LIMIT, euler, keys, largest_tree, run_kernel, up
 from grove.plans.forest import Forest
+from grove.plans.numbering import running
+from grove.plans.scratch import cut
 
 
 def _mask(mask: str | Column) -> Column:
@@ -253,43 +255,108 @@ def mark_clade_fblr_growth_sister(df: DataFrame, *, mark_as: str = "clade_fblr_g
 # ---------------------------------------------------------------- lineages through time
 
 
-def calc_clade_lookback_origin_time_delta(df: DataFrame, lookback_origin_time_delta: float, *, mark_as: str = "lookback_id") -> DataFrame:
-    """The nearest ancestor at least so much older, itself included for 0; the root if there is none. Climbs by powers of two."""
+def calc_clade_lookback_origin_time_delta(df: DataFrame, lookback_origin_time_delta: float, *, mark_as: str = "lookback_id", limit: int = LIMIT) -> DataFrame:
+    """The nearest ancestor at least so much older, itself included for 0; the root if there is none.
+
+    Climbs by powers of two past ancestors of which none is old enough: within
+    one task a tree, or by joins where a tree has more than ``limit`` rows.
+    """
+    df = df.drop(mark_as)
+    if largest_tree(df) > limit:
+        return _lookback_by_joins(df, lookback_origin_time_delta, mark_as)
 
     def run(forest: Forest, table: pa.Table) -> dict:
         times = table["origin_time"].to_numpy().astype(float)
-        hops = [forest.parent]
+        # Each hop and the least time among the nodes that it passes, its end included.
+        hops, least = [forest.parent], [times[forest.parent]]
         for _ in range(int(forest.depth.max(initial=0)).bit_length()):
+            least.append(np.minimum(least[-1], least[-1][hops[-1]]))
             hops.append(hops[-1][hops[-1]])
         at, wanted = np.arange(forest.n), times - lookback_origin_time_delta
-        for hop in reversed(hops):
-            at = np.where((times[at] > wanted) & (times[hop[at]] > wanted), hop[at], at)
-        at = np.where(times[at] > wanted, forest.parent[at], at)
-        return {mark_as: forest.ids[at]}
-
-    return _tree_kernel(df.drop(mark_as), {mark_as: T.LongType()}, run)
-
-
-def mark_ot_mrca(df: DataFrame, *, mark_as: str = "ot_mrca") -> DataFrame:
-    """For each origin_time the common ancestor of the lineages alive then: that of all nodes that are not older."""
+        open_ = times > wanted
+        for hop, low in zip(reversed(hops), reversed(least), strict=True):
+            at = np.where(open_ & (low[at] > wanted), hop[at], at)
+        return {mark_as: forest.ids[np.where(open_, forest.parent[at], at)]}
+
+    return _tree_kernel(df, {mark_as: T.LongType()}, run)
+
+
+def _lookback_by_joins(df: DataFrame, delta: float, mark_as: str) -> DataFrame:
+    k = keys(df)
+    time = F.col("origin_time").cast("double")
+    rows = df.select(*k, F.col("id").cast("long").alias("id"), F.col("ancestor_id").cast("long").alias("up"), time.alias("t"))
+    hop, _ = cut(rows.join(rows.select(*k, F.col("id").alias("up"), F.col("t").alias("low")), [*k, "up"]).select(*k, "id", "up", "low"))
+    hops = [hop]
+    while True:
+        over = hop.select(*k, F.col("id").alias("up"), F.col("up").alias("further"), F.col("low").alias("lower"))
+        wide, _ = cut(hop.join(over, [*k, "up"]).select(*k, "id", F.col("further").alias("up"), F.least("low", "lower").alias("low"), (F.col("further") != F.col("up")).alias("moved")))
+        if not wide.filter("moved").limit(1).count():
+            break
+        hop = wide.drop("moved")
+        hops.append(hop)
+    state = rows.select(*k, "id", F.col("id").alias("at"), (F.col("t") - delta).alias("wanted"), (F.col("t") > F.col("t") - delta).alias("open"))
+    for i, hop in reversed(list(enumerate(hops))):
+        step = hop.select(*k, F.col("id").alias("at"), F.col("up").alias("to"), "low")
+        go = F.col("open") & (F.col("low") > F.col("wanted"))
+        state = state.join(step, [*k, "at"]).select(*k, "id", F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), "wanted", "open")
+        state, _ = cut(state) if i % 4 == 0 else (state, None)
+    first = hops[0].select(*k, F.col("id").alias("at"), F.col("up").alias("to"))
+    found = state.join(first, [*k, "at"]).select(*k, "id", F.when(F.col("open"), F.col("to")).otherwise(F.col("at")).alias(mark_as))
+    return df.join(found, [*k, "id"]).select(*df.columns, mark_as)
+
+
+def mark_ot_mrca(df: DataFrame, *, mark_as: str = "ot_mrca", limit: int = LIMIT) -> DataFrame:
+    """For each origin_time the common ancestor of the lineages alive then: that of all nodes that are not older.
+
+    It is the common ancestor of the first and the last of those nodes in the
+    walk: within one task a tree, or by running extremes and lifting where a
+    tree has more than ``limit`` rows.
+    """
     if df.filter(is_root()).limit(2).count() > 1 and "tree_id" not in df.columns:
         raise NotImplementedError("several roots")
+    names = [f"{mark_as}_id", f"{mark_as}_time_of", f"{mark_as}_time_since"]
+    if largest_tree(df) > limit:
+        return _ot_mrca_by_joins(df.drop(*names), names)
 
     def run(forest: Forest, table: pa.Table) -> dict:
         times = table["origin_time"].to_numpy().astype(float)
-        depth, parent = forest.depth, forest.parent
-        met, now = np.empty(forest.n, np.int64), -1
+        pre = table["pre"].to_numpy()
         order = np.argsort(-times, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(times[order])) + 1) if forest.n else ():
-            for row in rows.tolist():
-                x, y = (row, row) if now < 0 else (now, row)
-                while x != y:
-                    if depth[x] >= depth[y]:
-                        x = parent[x]
-                    else:
-                        y = parent[y]
-                now = int(x)
-            met[rows] = now
-        return {f"{mark_as}_id": forest.ids[met], f"{mark_as}_time_of": times[met], f"{mark_as}_time_since": times - times[met]}
-
-    return _tree_kernel(df, {f"{mark_as}_id": T.LongType(), f"{mark_as}_time_of": T.DoubleType(), f"{mark_as}_time_since": T.DoubleType()}, run)
+        last = np.searchsorted(-times[order], -times[order], "right") - 1  # rows of one time share what all of them leave
+        row_at = np.argsort(pre)
+        low, high = (row_at[f.accumulate(pre[order])[last]] for f in (np.minimum, np.maximum))
+        hops = [forest.parent]
+        for _ in range(int(forest.depth.max(initial=0)).bit_length()):
+            hops.append(hops[-1][hops[-1]])
+        x, y = np.where(forest.depth[low] >= forest.depth[high], (low, high), (high, low))
+        gap = forest.depth[x] - forest.depth[y]
+        for i, hop in enumerate(hops):
+            x = np.where(gap >> i & 1, hop[x], x)
+        for hop in reversed(hops):
+            apart = hop[x] != hop[y]
+            x, y = np.where(apart, hop[x], x), np.where(apart, hop[y], y)
+        met = np.empty(forest.n, np.int64)
+        met[order] = np.where(x == y, x, forest.parent[x])
+        return dict(zip(names, (forest.ids[met], times[met], times - times[met]), strict=True))
+
+    kinds = dict(zip(names, (T.LongType(), T.DoubleType(), T.DoubleType()), strict=True))
+    walked = euler(df.drop(*names, "pre", "size", "depth", "post")).drop("size", "depth", "post")
+    out = _tree_kernel(walked, kinds, run).drop("pre")
+    kept = [c for c in ("pre", "size", "depth", "post") if c in df.columns]
+    return out if not kept else out.join(df.select(*keys(df), "id", *kept), [*keys(df), "id"]).select(*(c for c in df.columns if c not in names), *names)
+
+
+def _ot_mrca_by_joins(df: DataFrame, names: list[str]) -> DataFrame:
+    from grove.operators.pairs import find_mrca_ids
+
+    k = keys(df)
+    walked, _ = cut(euler(df.select(*k, F.col("id").cast("long").alias("id"), "ancestor_id", F.col("origin_time").cast("double").alias("_t"))).select(*k, "id", "_t", "pre"))
+    each = walked.groupBy(*k, "_t").agg(F.min("pre").alias("a"), F.max("pre").alias("b"))
+    ends = running(each, [F.desc("_t")], {"_a": ("min", "a"), "_b": ("max", "b")}).select(*k, "_t", "_a", "_b")
+    place = lambda at, name: walked.select(*k, F.col("pre").alias(at), F.col("id").alias(name))
+    pairs, _ = cut(ends.join(place("_a", "first"), [*k, "_a"]).join(place("_b", "second"), [*k, "_b"]).select(*k, "_t", "first", "second"))
+    met = find_mrca_ids(df.select(*k, F.col("id").cast("long").alias("id"), F.col("ancestor_id").cast("long").alias("ancestor_id")), pairs, mark_as=names[0])
+    of = walked.select(*k, F.col("id").alias(names[0]), F.col("_t").alias(names[1]))
+    found = met.join(of, [*k, names[0]]).select(*k, "_t", names[0], names[1])
+    out = df.withColumn("_t", F.col("origin_time").cast("double")).join(found, [*k, "_t"])
+    return out.withColumn(names[2], F.col("_t") - F.col(names[1])).select(*df.columns, *names)

@@ -16,6 +16,28 @@ from grove.plans.folds import keys
 from grove.plans.scratch import cut
 
 
+def running(df: DataFrame, by: list[Column | str], folds: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add, for each name, the (min or max, column) over a row and all before it in the order of ``by``, within a tree."""
+    k = keys(df)
+    order = Window.partitionBy(*(k or ["_part"])).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    how = {"min": (F.min, F.least, min), "max": (F.max, F.greatest, max)}
+    columns = {name: how[fold][0](column).over(order) for name, (fold, column) in folds.items()}
+    if k:
+        return df.withColumns(columns)
+    parts, _ = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    each = parts.groupBy("_part").agg(*(how[fold][0](column).alias(name) for name, (fold, column) in folds.items())).orderBy("_part").collect()
+    offsets, passed = [], {name: None for name in folds}
+    for row in each:
+        offsets.append((row["_part"], *passed.values()))
+        for name, (fold, _) in folds.items():
+            passed[name] = how[fold][2](x for x in (passed[name], row[name]) if x is not None)
+    kinds = ", ".join(f"_before_{name} {df.schema[column].dataType.simpleString()}" for name, (_, column) in folds.items())
+    known = F.broadcast(df.sparkSession.createDataFrame(offsets, f"_part int, {kinds}"))  # a row a part
+    out = parts.withColumns(columns).join(known, "_part")
+    merged = {name: how[fold][1](name, f"_before_{name}") for name, (fold, _) in folds.items()}
+    return out.withColumns(merged).drop("_part", *(f"_before_{name}" for name in folds))
+
+
 def numbered(df: DataFrame, by: list[Column | str], name: str, *, sum_of: str | None = None, lag_of: str | None = None) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in the order of ``by``, within a tree.
 
