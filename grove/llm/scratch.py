@@ -29,20 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+_made: list[Scratch] = []
+
+
+def clear() -> None:
+    """Delete every folder that operators of this process have made, once no result that reads them is needed any more."""
+    while _made:
+        made = _made.pop()
+        made.drop("")
+
+
 class Scratch:
     """Tables of one run of an operator, below one folder of the shared space.
 
     ``write`` makes a DataFrame durable and returns it reread, so that a lost
     executor never recomputes what stands before it. ``drop`` deletes a table
-    that nothing will read again.
+    that nothing will read again; what a result reads goes with ``clear``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/grove-{name}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}".rstrip("/")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))

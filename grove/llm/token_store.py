@@ -12,22 +12,23 @@ Layout below the store's folder (Parquet files, so any Hadoop store serves):
                of 16 bits where the vocabulary allows, else of 32.
 ``recipes/``   doc_id, part, row, start, n_tokens, root, chunks(digest, n_ids);
                ``part`` and ``start`` rise with doc_id.
-``manifest/``  one row: width, end id, documents, tokens and a Merkle root
-               whose leaves are checksums of the parts: sums, in any order, of
-               64-bit xxHashes of a part's rows (root, doc_id, start). They
-               notice accidents, not forgery.
+``manifest/``  one row: width, end id, documents, tokens and a Merkle root over
+               the parts in order. A part's leaf is the SHA-256 of its runs'
+               hashes in order, a run's that of its rows' hashes in order, and
+               a row's that of its root, doc_id, start and n_tokens.
 
 The store is read back chunk by chunk: each chunk is read and its digest
 verified once, however many documents hold it, its length is compared with the
 recipes', and a document's CRC-32 is combined from its chunks' by the rule for
 concatenated streams.
-``read_ids`` rebuilds the ids themselves.
+``read_ids`` rebuilds the ids themselves and checks the same.
 
 Speed: see ``segments``.
 
 Defined results: null and empty texts are the end id alone. Null doc_ids sort
 first. Rows that repeat a doc_id are separate documents, in the order of their
-roots. Extra columns are ignored. An empty table gives no rows.
+roots. A very long text is one row of the encoder and many chunks. Extra
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -234,24 +235,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, wid
         .parquet(f"{path}/recipes")
     )
     scratch.drop("cut", "parts")
-    # The manifest's leaves are the parts' checksums: order-free sums of the recipes' roots.
-    recipes = spark.read.parquet(f"{path}/recipes")
-    leaves = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n"), _checksum().alias("s")).orderBy("part").collect()
-    root = merkle_root([hashlib.blake2b(f"{x.part}:{x.n}:{x.s}".encode(), digest_size=32).digest() for x in leaves])
-    spark.createDataFrame([(width, end_id, sum(x.n for x in leaves), before, root)], "width int, end_id int, documents long, tokens long, root binary").coalesce(
+    documents, root = _manifest_root(spark.read.parquet(f"{path}/recipes"))
+    spark.createDataFrame([(width, end_id, documents, before, root)], "width int, end_id int, documents long, tokens long, root binary").coalesce(
         1
     ).write.parquet(f"{path}/manifest")
 
 
-def _checksum():
-    return F.sum((F.xxhash64("root", "doc_id", "start").cast("decimal(38,0)")))
+#: Recipes of a run, whose hashes one row of an aggregation holds.
+RUN = 4096
+
+
+def _manifest_root(recipes: DataFrame) -> tuple[int, bytes]:
+    """Number of recipes and their Merkle root; one row a part reaches the driver."""
+
+    def in_order(at: str, what: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), what.alias("hash"))))
+        return F.sha2(F.array_join(F.transform(rows, lambda x: x["hash"]), ""), 256)
+
+    own = F.sha2(F.concat_ws(":", F.hex("root"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens"), 256)
+    run = F.floor((F.col("row") - 1) / RUN).cast("long")
+    runs = recipes.groupBy("part", run.alias("run")).agg(in_order("row", own).alias("hash"), F.count(F.lit(1)).alias("n"))
+    parts = runs.groupBy("part").agg(in_order("run", F.col("hash")).alias("hash"), F.sum("n").alias("n")).orderBy("part").collect()
+    return sum(x.n for x in parts), merkle_root([bytes.fromhex(x.hash) for x in parts])
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
     """Raise unless the recipes are those that the manifest was made from."""
     kept = spark.read.parquet(f"{path}/manifest").first()
-    leaves = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count(F.lit(1)).alias("n"), _checksum().alias("s")).orderBy("part").collect()
-    if merkle_root([hashlib.blake2b(f"{x.part}:{x.n}:{x.s}".encode(), digest_size=32).digest() for x in leaves]) != kept.root:
+    if _manifest_root(spark.read.parquet(f"{path}/recipes")) != (kept.documents, kept.root):
         raise ValueError(f"the recipes in {path} do not match its manifest")
 
 
@@ -336,17 +347,26 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids of each document."""
+    """doc_id, start and the ids of each document, from verified chunks; a missing or damaged one raises."""
+    verify_manifest(spark, path)
     width = spark.read.parquet(f"{path}/manifest").first().width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["data"] for x in parts), f"<u{width}").astype(np.int32) for parts in batch["parts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+            out = []
+            for root, n_tokens, parts in zip(*(batch[c].to_pylist() for c in ("root", "n_tokens", "parts")), strict=True):
+                data = [x["data"] for x in parts]
+                if None in data or merkle_root([hashlib.blake2b(x, digest_size=32).digest() for x in data]) != root:
+                    raise ValueError(f"a chunk of the recipe with root {root.hex()} is damaged or missing")
+                out.append(np.frombuffer(b"".join(data), f"<u{width}").astype(np.int32))
+                if len(out[-1]) != n_tokens:
+                    raise ValueError(f"a recipe with root {root.hex()} is damaged")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     rows = _recipe_rows(spark, path).withColumn("digest", F.col("chunk.digest"))
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data")
-    whole = rows.join(chunks, "digest").groupBy("part", "row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts")
+    whole = rows.join(chunks, "digest", "left").groupBy("part", "row", "doc_id", "start", "n_tokens", "root").agg(parts)
     return whole.mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 

@@ -159,3 +159,31 @@ def test_long_matches_are_exact_and_bounded():
     ids, back = trip(pa.array(made))
     for text, got, bytes_ in zip(made, ids.to_pylist(), back.to_pylist(), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == encoding.encode_ordinary(text) and bytes_ == text.encode()
+
+
+def test_damaged_and_missing_chunks_are_noticed(spark):
+    path = Scratch(spark, "test").path("store")
+    df = spark.createDataFrame([(1, " ".join(f"w{i * i}" for i in range(9_000))), (2, "d e f")], "doc_id long, text string")
+    token_store.write_store(df, path, public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_store.read_ids(spark, path).count() == 2
+    chunks, schema = (stored := spark.read.parquet(f"{path}/chunks")).collect(), stored.schema
+    hurt = [r.asDict() for r in chunks]
+    hurt[0]["data"] = bytes(hurt[0]["data"][:-1]) + bytes([hurt[0]["data"][-1] ^ 1])
+    for rows in (hurt, hurt[1:]):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/chunks")
+        for read in (token_store.read_ids, token_store.read_checksums):
+            with pytest.raises(Exception, match="damaged"):
+                read(spark, path).collect()
+
+
+def test_scratch_is_cleared(spark):
+    from grove.llm import scratch
+
+    own = Scratch(spark, "test")
+    own.write(spark.range(3), "table")
+    assert own.read("table", spark.range(1).schema).count() == 3
+    kept, scratch._made[:] = scratch._made[:-1], [own]
+    scratch.clear()
+    scratch._made[:] = kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        own.read("table", spark.range(1).schema).count()
