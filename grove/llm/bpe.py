@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm.segments import WordEncoder, slices
-from grove.llm.worker import claim, forgettable
+from grove.llm.worker import claim, forgettable, rest
 
 #: A word's tokens are a list between rounds. Pair of tokens as one key; rank and place as one number that sorts by rank, then place.
 ENCODE_SQL = """
@@ -47,7 +47,7 @@ WITH RECURSIVE state AS (
 SELECT word, arg_max(toks, turn) AS toks FROM state GROUP BY word ORDER BY word
 """
 #: Long words: a round contracts all places of a word's pair of least rank, and only a word's last state is kept. Where the merged token
-#: could merge at a lower rank still (``safe`` is false), only the leftmost place is contracted.
+#: could merge with a neighbour at a lower rank still (a ``bad`` pair), only the leftmost place is contracted.
 LONG_SQL = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
   SELECT word, list(tok ORDER BY pos) AS toks FROM start GROUP BY word
@@ -59,11 +59,16 @@ WITH RECURSIVE state(word, toks) USING KEY (word) AS (
       SELECT word, spot, merged FROM (
         SELECT word, spot, merged, safe, row_number() OVER (PARTITION BY word ORDER BY spot) AS nth,
                row_number() OVER (PARTITION BY word, island ORDER BY spot) AS place
-        FROM (SELECT word, spot, merged, safe, spot - row_number() OVER (PARTITION BY word ORDER BY spot) AS island
-              FROM (SELECT word, spot, m.merged, m.safe, min(m.merged) OVER (PARTITION BY word) AS best
-                    FROM (SELECT word, unnest(range(1, len(toks))) AS spot, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM state) p
-                    JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt)
-              WHERE merged = best))
+        FROM (SELECT word, spot, f.merged, spot - row_number() OVER (PARTITION BY word ORDER BY spot) AS island,
+                     bool_and(x.pair IS NULL AND y.pair IS NULL AND z.pair IS NULL) OVER (PARTITION BY word) AS safe
+              FROM (SELECT word, spot, prv, nx2, m.merged, min(m.merged) OVER (PARTITION BY word) AS best
+                    FROM (SELECT word, unnest(range(1, len(toks))) AS spot, unnest([NULL] || toks[:-3]) AS prv, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt,
+                                 unnest(toks[3:] || [NULL]) AS nx2 FROM state WHERE len(toks) > 1) p
+                    JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt) f
+              LEFT JOIN bad x ON x.pair = f.merged::BIGINT * 4294967296 + f.nx2
+              LEFT JOIN bad y ON y.pair = f.prv::BIGINT * 4294967296 + f.merged
+              LEFT JOIN bad z ON z.pair = f.merged::BIGINT * 4294967296 + f.merged
+              WHERE f.merged = best))
       WHERE CASE WHEN safe THEN place % 2 = 1 ELSE nth = 1 END) c ON c.word = s.word AND c.spot = s.spot
     WHERE s.word IN (
       SELECT word FROM (SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM state) p
@@ -86,7 +91,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Vocabulary, merge table and queries of one rank file."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "150MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "100MB"):
         import duckdb
         import regex
 
@@ -99,15 +104,12 @@ class DuckBpe:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": "", "allocator_flush_threshold": "16MB"})
         pairs = np.array(left, np.int64) * 2**32 + np.array(right, np.int64)
         self.db.register("pairs", pa.table({"pair": pairs, "merged": np.array(merged, np.int32)}))
-        self.db.execute("CREATE TABLE made AS FROM pairs")
-        self.db.execute(
-            "CREATE TABLE merges AS SELECT pair, merged, NOT EXISTS (SELECT 1 FROM made x WHERE x.merged < m.merged AND "
-            "(x.pair // 4294967296 = m.merged OR x.pair % 4294967296 = m.merged)) AS safe FROM made m ORDER BY pair"
-        )
-        self.db.execute("DROP TABLE made")
+        self.db.execute("CREATE TABLE merges AS FROM pairs ORDER BY pair")
+        # Pairs that merge at a lower rank than one of their own tokens has.
+        self.db.execute("CREATE TABLE bad AS SELECT pair FROM merges WHERE merged < greatest(pair // 4294967296, pair % 4294967296)")
         self.db.register("named", pa.table({"tok": np.fromiter(ranks.values(), np.int32), "hex": [x.hex() for x in ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM named ORDER BY tok")
 
@@ -131,18 +133,18 @@ class DuckBpe:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and how many each word has, of byte strings; one that is a token is that token."""
         known = np.array([self.ranks.get(x, -1) for x in words], np.int64)
-        rest = np.flatnonzero(known < 0)
-        long = np.array([len(words[i]) >= LONG for i in rest], bool)
-        rest = rest[np.argsort(long, kind="stable")]
-        groups = [r[at : at + most] for r, most in ((rest[: len(rest) - long.sum()], 20_000), (rest[len(rest) - long.sum() :], 200)) for at in range(0, len(r), most)]
+        new = np.flatnonzero(known < 0)
+        long = np.array([len(words[i]) >= LONG for i in new], bool)
+        new = new[np.argsort(long, kind="stable")]
+        groups = [r[at : at + most] for r, most in ((new[: len(new) - long.sum()], 10_000), (new[len(new) - long.sum() :], 200)) for at in range(0, len(r), most)]
         parts = [self.words([words[i] for i in group]) for group in groups]
         lengths = np.ones(len(words), np.int64)
         if parts:
-            lengths[rest] = np.concatenate([n for _, n in parts])
+            lengths[new] = np.concatenate([n for _, n in parts])
         starts, ids = np.cumsum(lengths) - lengths, np.empty(lengths.sum(), np.int32)
         ids[starts[known >= 0]] = known[known >= 0]
         if parts:
-            ids[np.repeat(starts[rest], lengths[rest]) + _within(lengths[rest])] = np.concatenate([x for x, _ in parts])
+            ids[np.repeat(starts[new], lengths[new]) + _within(lengths[new])] = np.concatenate([x for x, _ in parts])
         return ids, lengths
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
@@ -211,6 +213,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, remembered: int = R
             ids, texts = bpe(batch.column(1))
             counts = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, texts], ["doc_id", "n_tokens", "ids", "decoded"])
+        rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

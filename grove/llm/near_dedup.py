@@ -50,7 +50,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from grove.llm.graph import BOUND, connected_components
 from grove.llm.scratch import Scratch
-from grove.llm.worker import claim, forgettable
+from grove.llm.worker import claim, forgettable, rest
 
 REGISTERS, BAND, MANTISSA, WORDS = 128, 4, 10, 5
 BANDS = REGISTERS // BAND
@@ -132,6 +132,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "registers"],
             )
+    rest()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +146,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [xxh3_128_digest(x) == y for x, y in zip(sets, batch.column(1).slice(at, 500).to_pylist(), strict=True)]
             part = pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(sets, pa.binary())], ["id", "shingles"])
             yield part.filter(pa.array(own, pa.bool_()))
+    _hashes.clear()
+    rest()
 
 
 def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -220,6 +223,8 @@ def _across(percent: int):
                 if x != y:
                     joined[max(x, y)] = min(x, y)
                     out[0].append(x), out[1].append(y)
+        del sets, hashes, owner, order
+        rest()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run

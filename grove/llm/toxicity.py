@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.boosting import Boosted, boost, isotonic
 from grove.llm.scratch import Scratch
-from grove.llm.worker import claim
+from grove.llm.worker import claim, rest
 
 #: Common insults, kept short; the rest is learned.
 INSULTS = frozenset(
@@ -276,6 +276,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 batch = whole.slice(at, 2000)
                 x = np.stack([table.features(t or "") for t in batch["text"].to_pylist()])
                 yield batch.filter(pa.array(model.score(x) < 0.5))
+        del table
+        rest()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -12,6 +12,8 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _owner: str | None = None
 _forget: list[Callable[[], None]] = []
 
@@ -28,8 +30,14 @@ def claim(owner: str) -> None:
     for clear in _forget:
         clear()
     gc.collect()
+    rest()
+    _owner = owner
+
+
+def rest() -> None:
+    """Called by a task when it has worked: what it no longer uses goes back to the system, which may start no other Python for long."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
-    _owner = owner
