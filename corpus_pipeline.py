@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document."""
     # The executors' heaps are large by now: half the usual memory for the workers.
-    encoded = bpe.encode_decode(docs, *bpe.production_encoder(), remembered=100_000)
+    encoded = bpe.encode_decode(docs, *bpe.production_encoder(), remembered=60_000)
     return bpe.digests(encoded, "ids")
 
 
