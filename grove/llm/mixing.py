@@ -18,7 +18,7 @@ Topics: a ``topic`` column is used where there is one, else the form of the
 text decides: table, markup, symbols, shouting, numbers, short or prose.
 
 Defined results: null labels are a label of their own, and a null text is
-empty. Empty texts count one token, so that they can be sampled. Labels that
+empty. A very long text is one row. Empty texts count one token, so that they can be sampled. Labels that
 have a target but no documents are left out, the others' targets scaled up. A
 null doc_id is hashed as such. Rows that repeat an id share their fate. An
 empty table gives no rows.
@@ -39,16 +39,16 @@ MARGINS = ("source", "lang", "topic")
 
 def form(text: Column) -> Column:
     """The topic of a text without one, by native functions over the whole text."""
-    n = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.length(F.translate(text, chars, "")) / n
-    lacks = lambda chars: 1 - share(chars)
+    n = F.length(text)
+    # In whole numbers, so that a share that is just met is met everywhere.
+    over = lambda chars, percent: 100 * (n - F.length(F.translate(text, chars, ""))) > percent * n
     return (
-        F.when(F.length(text) < 200, "short")
-        .when(lacks("|") > 0.02, "table")
-        .when(lacks("<>") > 0.02, "markup")
-        .when(lacks("#$%&*@^~{}[]_=\\") > 0.05, "symbols")
-        .when(lacks("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "shouting")
-        .when(lacks("0123456789") > 0.1, "numbers")
+        F.when(n < 200, "short")
+        .when(over("|", 2), "table")
+        .when(over("<>", 2), "markup")
+        .when(over("#$%&*@^~{}[]_=\\", 5), "symbols")
+        .when(over("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 30), "shouting")
+        .when(over("0123456789", 10), "numbers")
         .otherwise("prose")
     )
 

@@ -13,8 +13,8 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), b"END "]
 
 
-def brute(rows, order):
-    """The same model with dictionaries."""
+def model(rows, order):
+    """The same model with dictionaries: p(words, place, order), counts, tokens."""
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     counts = [Counter() for _ in range(order + 1)]
     for t in train:
@@ -45,6 +45,11 @@ def brute(rows, order):
         s = share[k - 1][int(lm.count_class(np.array([h]))[0])]
         return s * counts[k][tuple(w[e - k + 1 : e + 1])] / h + (1 - s) * p(w, e, k - 1)
 
+    return p, counts, n
+
+
+def brute(rows, order):
+    p, counts, n = model(rows, order)
     out = []
     for i, t in rows:
         w = [b"START ", *tokens(t)]
@@ -64,19 +69,13 @@ def test_against_brute_force(docs, order, block_bytes):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = [(0, "a b a c"), (2, "a b b"), (3, "c a")]
-    vocabulary = ["a", "b", "c", "zz"]  # zz stands for all unknown words
-    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
-    ask = [(1000 + i, f"a {w}") for i, w in enumerate(vocabulary)] + [(2000, "a")]
-    ask = [(i, t) for i, t in ask]
-    ids = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(ask)]
-    df = spark.createDataFrame(train + [(j, t) for j, (_, t) in zip(ids, ask)], "doc_id long, text string")
-    score = {r.doc_id: r.score for r in lm.lm_scores(df).collect()}
-    alone = score[ids[-1]]  # log p(a) + log p(end | a)
-    # p(a w end) = p(a) p(w | a) p(end | w): compare through a brute-force model instead of inverting it.
-    want = {r[0]: r[6] for r in brute(train + [(j, t) for j, (_, t) in zip(ids, ask)], 2)}
-    assert abs(alone - want[ids[-1]]) < 1e-9
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_probabilities_sum_to_one(order):
+    """Of the model that the operator's scores agree with, after any history."""
+    p, counts, _ = model(texts(), order)
+    vocabulary = [g[0] for g in counts[1] if g != (b"START ",)] + [b"unknown "]
+    for history in ([b"START "], [b"START ", b"one"], [b"one", b"two"], [b"two", b"unknown "], [b"unknown ", b"one"], [b"three", b"four"]):
+        assert abs(sum(p([*history, w], len(history), order) for w in vocabulary) - 1) < 1e-9
 
 
 def test_empty(no_docs):

@@ -90,3 +90,22 @@ def test_tables_give_what_arrays_give_by_default(spark):
     assert a.keys() == b.keys() == {r[0] for r in rows}
     for i in a:
         assert abs(a[i].weight - b[i].weight) < 1e-9 and abs(a[i].probability - b[i].probability) < 1e-9
+
+
+def test_labels_and_tokens_against_plain_python(spark):
+    """Form, language, source and tokens from the texts themselves."""
+    base = "word " * 60
+    rows = texts() + [(500, base), (501, base + "|" * 20), (502, "<p>" * 90), (503, base + "#$%&" * 10), (504, base.upper()), (505, "12345 " * 50), (506, "a" * 199), (507, "a" * 200)]
+    rows += [(508, base + "|" * 7), (509, base + "<" * 7), (510, base + "=" * 17), (511, base + "é" * 100), (512, "A" * 61 + "b" * 139), (513, "A" * 60 + "b" * 140)]
+
+    def form(text):
+        share = lambda chars: 100 * sum(c in chars for c in text)
+        if len(text) < 200:
+            return "short"
+        rules = (("|", 2, "table"), ("<>", 2, "markup"), ("#$%&*@^~{}[]_=\\", 5, "symbols"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 30, "shouting"), ("0123456789", 10, "numbers"))
+        return next((name for chars, most, name in rules if share(chars) > most * len(text)), "prose")
+
+    df = spark.createDataFrame([(i, t, ["en", None][(i or 0) % 2], f"s{(i or 0) % 3}") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted(str((r.doc_id, r.source, r.lang, r.topic, r.tokens)) for r in mixing.labelled(df).collect())
+    plain = lambda t: max(len((t or "").encode().split()), 1)
+    assert got == sorted(str((i, f"s{(i or 0) % 3}", ["en", ""][(i or 0) % 2], form(t or ""), plain(t))) for i, t in rows)

@@ -57,8 +57,13 @@ def test_isotonic_is_the_best_rising_fit():
     y = (rng.random(300) < 1 / (1 + np.exp(-2 * score))).astype(float)
     at, value = isotonic(score, y)
     assert (np.diff(at) > 0).all() and (np.diff(value) > 0).all()
-    # Each block is a mean: the sums agree.
-    assert abs(value.mean() - value.mean()) < 1e-12 and 0 <= value.min() and value.max() <= 1
+    # The best rising fit is the largest, over starts, of the smallest mean, over ends.
+    rising = y[np.argsort(score)]
+    sums = np.concatenate(([0], np.cumsum(rising)))
+    mean = lambda a, b: (sums[b + 1] - sums[a]) / (b + 1 - a)
+    best = [max(min(mean(a, b) for b in range(k, 300)) for a in range(k + 1)) for k in range(300)]
+    assert np.allclose(sorted(set(np.round(best, 9))), value, atol=1e-8)
+    assert np.allclose([sum(abs(x - v) < 1e-8 for x in best) for v in value], np.diff(np.searchsorted(np.sort(score), [*[np.sort(score)[best.index(x)] for x in sorted(set(best))], np.inf])))
 
 
 def test_boosting_learns_an_interaction():
@@ -75,3 +80,51 @@ def test_features_of_a_text():
     assert x[4] == 1 and x[5] == 2 and x[6] == 5  # a fixed word, two learned ones, two hidden ones
     assert x[7] > 0 and x[8] == 1 / 7
     assert not table.features("").any()
+
+
+def naive_features(text, words_learned, beginnings):
+    """The features of a text, word by word, without a table."""
+    words = text.split()
+    if not words:
+        return [0.0] * toxicity.FEATURES
+
+    def core(w):
+        places = [i for i, c in enumerate(w) if c.isalpha()]
+        return w[places[0] : places[-1] + 1].lower() if places else ""
+
+    learned = lambda c: c in words_learned or any(c.startswith(b) for b in beginnings)
+    insult = [core(w) in toxicity.INSULTS for w in words]
+    taught = [learned(core(w)) for w in words]
+    second = [core(w) in toxicity.SECOND_PERSON for w in words]
+    hidden, mixed, stretched = [], [], []
+    for w in words:
+        c = core(w)
+        odd = bool(c) and any(not x.isalpha() for x in c)
+        plain = "".join(x for x in c.translate(toxicity.LEET) if x.isalpha())
+        runs = len(c) > 3 and any(c[i] == c[i + 1] == c[i + 2] for i in range(len(c) - 2))
+        single = "".join(x for i, x in enumerate(c) if i == 0 or c[i - 1] != x)
+        mixed.append(odd)
+        stretched.append(runs)
+        hidden.append(odd and (plain in toxicity.INSULTS or learned(plain)) or runs and (single in toxicity.INSULTS or learned(single)))
+    hit = [a or b or c for a, b, c in zip(insult, taught, hidden)]
+    near = [any(second[j] for j in range(len(words)) if abs(i - j) <= toxicity.NEAR) for i, h in enumerate(hit) if h]
+    n, joined = len(words), "".join(words)
+    letters, digits = sum(c.isalpha() for c in joined), sum(c.isdigit() for c in joined)
+    upper = sum(c.isupper() for c in joined)
+    shout = sum(sum(c.isalpha() for c in w) > 1 and sum(c.isupper() for c in w) == sum(c.isalpha() for c in w) for w in words)
+    return [
+        sum(insult) / n, sum(taught) / n, sum(hidden) / n, sum(hit) / n, min(sum(insult), 20), min(sum(taught), 20), min(sum(hit), 20),
+        sum(near) / len(near) if near and any(second) else 0.0, sum(second) / n, upper / max(letters, 1), shout / n,
+        (len(joined) - letters - digits) / max(len(joined), 1), joined.count("!") / max(len(joined), 1), digits / max(len(joined), 1), sum(mixed) / n,
+        sum(stretched) / n, np.log1p(n), letters / n, sum(hidden),
+    ]
+
+
+def test_features_against_brute_force():
+    rng = random.Random(8)
+    learned, beginnings = {"blib", "taka"}, {"zork", "rebe"}
+    table = toxicity.WordTable(toxicity.Lexicon(frozenset(learned), frozenset(beginnings)))
+    pool = ["You", "du", "IDIOT", "m0ron", "idiooot!", "zorkly", "blib", "TAKA!!", "re8eka", "scheiße,", "l0sers", "(vos)", "x", "42", "!!!", "aaa", "baaaad", "WoRd", "$cum"]
+    made = [" ".join(rng.choice(pool if rng.random() < 0.5 else prose(k, 9).split()) for _ in range(rng.randint(1, 60))) for k in range(200)]
+    for text in made + [t for _, t in texts() if t and len(t) < 5_000]:
+        assert np.allclose(table.features(text), naive_features(text, learned, beginnings)), text[:80]
