@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.functions.columns import is_root
 from grove.operators.marks import mark_leaves, mark_node_depth
 from grove.plans.folds import down, euler, keys, up
 from grove.plans.numbering import numbered
@@ -162,7 +163,7 @@ def _pair_depths(df: DataFrame, label: str) -> DataFrame:
     leaves = mark_leaves(df, mark_as="_leaf").filter("_leaf").select("id", F.col(label).alias("_label"))
     n = leaves.count()
     if n > MOST_PAIRED // 40:
-        raise ValueError(f"{n} leaves are too many for an exact comparison; use estimate_triplet_distance")
+        raise ValueError(f"{n} leaves are too many to list their quartets")
     a, b = leaves.select(F.col("id").alias("first"), F.col("_label").alias("x")), leaves.select(F.col("id").alias("second"), F.col("_label").alias("y"))
     pairs = a.join(b, F.col("x") < F.col("y"))
     met = find_mrca_ids(df, pairs, mark_as="_m")
@@ -170,16 +171,46 @@ def _pair_depths(df: DataFrame, label: str) -> DataFrame:
     return cut(met.join(depth, "_m").select("x", "y", "depth"))[0]
 
 
-def _triplets(depths: DataFrame, mark: str) -> DataFrame:
-    d = lambda x, y, name: depths.select(F.col("x").alias(x), F.col("y").alias(y), F.col("depth").alias(name))
-    rows = d("i", "j", "_c").join(d("j", "k", "_a"), "j").join(d("i", "k", "_b"), ["i", "k"])
-    return rows.select("i", "j", "k", outgroup(F.col("_a"), F.col("_b"), F.col("_c")).alias(mark))
+def _closure(df: DataFrame, label: str) -> DataFrame:
+    """(label, node) for each leaf and each of its ancestors, itself included, by doubling."""
+    nodes, hops = lifted(df)
+    leaves = mark_leaves(df, mark_as="_leaf").filter("_leaf").select("id", F.col(label).alias("label"))
+    out = leaves.join(nodes.select("id", "depth"), "id").withColumnRenamed("id", "node")
+    for i, hop in enumerate(hops):
+        step = hop.select(F.col("id").alias("node"), "up")
+        above = out.filter(F.col("depth") >= 1 << i).join(step, "node").select("up", "label", (F.col("depth") - (1 << i)).alias("depth"))
+        out, _ = cut(out.select("node", "label", "depth").unionByName(above.withColumnRenamed("up", "node")))
+    return out.select("label", "node")
 
 
 def calc_triplet_distance(ref: DataFrame, cmp: DataFrame, taxon_label_key: str = "taxon_label") -> DataFrame:
-    """Share of leaf triplets whose outgroup differs. For equal sets of labels, one root each."""
-    a, b = (_triplets(_pair_depths(df, taxon_label_key), m) for df, m in ((ref, "_x"), (cmp, "_y")))
-    return a.join(b, ["i", "j", "k"]).agg(F.coalesce(F.avg(F.when(F.col("_x") != F.col("_y"), 1.0).otherwise(0.0)), F.lit(0.0)).alias("distance"))
+    """Share of leaf triplets whose outgroup differs. For equal sets of labels, one root each.
+
+    From how many leaves the clades of a node of one tree and a node of the
+    other share, and their parents' clades: no triplet is listed. A triplet xy|z
+    is resolved below one node only, the child, holding x and y, of the three's
+    common ancestor.
+    """
+    sides, resolved = [], []
+    for df, node, up in ((ref, "a", "u"), (cmp, "b", "v")):
+        closure = _closure(df, taxon_label_key).withColumnRenamed("node", node)
+        parent = df.filter(~is_root()).select(F.col("id").alias(node), F.col("ancestor_id").alias(up))
+        size = cut(closure.groupBy(node).agg(F.count(F.lit(1)).cast("double").alias("n")))[0]
+        below = size.join(parent, node).join(size.select(F.col(node).alias(up), F.col("n").alias("_over")), up)
+        resolved.append(below.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2 * (F.col("_over") - F.col("n"))), F.lit(0.0))).first()[0])
+        sides.append((closure, parent, size.agg(F.max("n")).first()[0] or 0.0))
+    (left, over_a, n), (right, over_b, _) = sides
+    shared = cut(left.join(right, "label").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")))[0]
+    both = shared.join(over_a, "a").join(over_b, "b")
+    both = both.join(shared.select("a", F.col("b").alias("v"), F.col("n").alias("av")), ["a", "v"])
+    both = both.join(shared.select(F.col("a").alias("u"), "b", F.col("n").alias("ub")), ["u", "b"])
+    both = both.join(shared.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("n").alias("uv")), ["u", "v"])
+    c = F.col
+    agree = c("n") * (c("n") - 1) / 2 * (c("uv") - c("av") - c("ub") + c("n"))
+    against = c("n") * (c("av") - c("n")) * (c("ub") - c("n"))
+    total = n * (n - 1) * (n - 2) / 6
+    wrong = F.lit(resolved[0] + resolved[1]) - F.coalesce(F.sum(2 * agree + against), F.lit(0.0))
+    return both.agg((wrong / F.lit(total) if total else F.lit(0.0)).alias("distance"))
 
 
 def _quartets(df: DataFrame, label: str, mark: str) -> DataFrame:
