@@ -70,19 +70,19 @@ def screen_trait_defined_clades_naive(
     return _kept(df, out.withColumn(mark_as, known & (F.col("_f") >= defining_mut_thresh) & (sister <= defining_mut_sister_thresh)), mark_as)
 
 
-def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    return lg(n + 1.0) - lg(k + 1.0) - lg(n - k + 1.0)
-
-
-def fisher_greater(a1: int, a0: int, b1: int, b0: int) -> float:
-    """P(X >= a1) for the hypergeometric count of a table's first cell."""
+def fisher_greater(a1: int, a0: int, b1: int, b0: int, logs: np.ndarray | None = None) -> float:
+    """P(X >= a1) for the hypergeometric count of a table's first cell; ``logs`` are logarithms of factorials."""
     n1, n, row = a1 + b1, a1 + a0 + b1 + b0, a1 + a0
-    x = np.arange(a1, min(n1, row) + 1, dtype=float)
+    f = log_factorials(n) if logs is None else logs
+    x = np.arange(a1, min(n1, row) + 1)
     if not len(x):
         return 0.0
-    logs = _log_choose(np.full(len(x), float(n1)), x) + _log_choose(np.full(len(x), float(n - n1)), row - x) - _log_choose(np.array([float(n)]), np.array([float(row)]))
-    return float(min(1.0, np.exp(logs).sum()))
+    constant = f[n1] + f[n - n1] - f[n] + f[row] + f[n - row]
+    return float(min(1.0, np.exp(constant - f[x] - f[n1 - x] - f[row - x] - f[n - n1 - row + x]).sum()))
+
+
+def log_factorials(n: int) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, range(1, n + 2)), float, n + 1)
 
 
 @_bifurcating
@@ -95,8 +95,10 @@ def screen_trait_defined_clades_fisher(df: DataFrame, *, mask_trait_absent: str
 
     def run(batches):
         for batch in batches:
-            table = zip(*(batch[c].to_pylist() for c in ("_present", "_absent", "_sp", "_sa")), strict=True)
-            p = [fisher_greater(*row) if row[0] else 1.0 for row in table]
+            table = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_present", "_absent", "_sp", "_sa")], axis=1)
+            distinct, at = np.unique(table, axis=0, return_inverse=True)
+            logs = log_factorials(int(table.sum(axis=1).max(initial=0)))
+            p = np.array([fisher_greater(*row, logs) if row[0] else 1.0 for row in distinct.tolist()], float)[at.ravel()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(p, pa.float64())], names=[*kept, mark_as])
 
     return out.mapInArrow(run, schema)

@@ -525,7 +525,16 @@ query(
     """SELECT x.id, coalesce(x.f >= 0.6 AND y.f <= 0.4, false) AS trait_defined_naive FROM ff x JOIN sis ON sis.id = x.id JOIN ff y ON y.id = sis.s""",
     _FREQ + ", ff AS (SELECT id, CASE WHEN p + a > 0 THEN p / (p + a)::DOUBLE END AS f FROM fr)",
 )
-query("screen_trait_defined_clades_fisher", "heap", lambda df: traits.screen_trait_defined_clades_fisher(df, mask_trait_absent=_NO(), mask_trait_present=_YES()).select("id", "trait_defined_fisher"))
+_LC = "lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0)"
+query(
+    "screen_trait_defined_clades_fisher",
+    "heap",
+    lambda df: traits.screen_trait_defined_clades_fisher(df, mask_trait_absent=_NO(), mask_trait_present=_YES()).select("id", F.round("trait_defined_fisher", 8).alias("trait_defined_fisher")),
+    f"""SELECT id, round(CASE WHEN p = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(range(p, least(n1, r) + 1),
+      lambda k: exp({_LC.format(n="n1", k="k")} + {_LC.format(n="(n - n1)", k="(r - k)")} - ({_LC.format(n="n", k="r")}))))) END, 8) AS trait_defined_fisher
+    FROM (SELECT x.id, x.p::BIGINT AS p, (x.p + y.p)::BIGINT AS n1, (x.p + x.a + y.p + y.a)::BIGINT AS n, (x.p + x.a)::BIGINT AS r FROM fr x JOIN sis ON sis.id = x.id JOIN fr y ON y.id = sis.s)""",
+    _FREQ,
+)
 query("screen_trait_defined_clades_fitch", "heap", lambda df: traits.screen_trait_defined_clades_fitch(df, mask_trait_absent=_NO(), mask_trait_present=_YES()).select("id", "trait_defined_fitch"))
 for _name in ("logistic", "fblr"):
     for _side in ("children", "sister"):
