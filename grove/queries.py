@@ -497,8 +497,45 @@ query(
     _LIN,
 )
 query("mark_sample_tips_uniform_count", "recursive", lambda df: sampling.mark_sample_tips_uniform(df, 40, seed=1).agg(F.count_if("sampled").alias("n")), "SELECT least(40, (SELECT count(*) FROM lf)) AS n")
-query("downsample_tips_uniform", "recursive", lambda df: _edges(sampling.downsample_tips_uniform(df, 40, seed=1)))
-query("downsample_tips_clade", "recursive", lambda df: _edges(sampling.downsample_tips_clade(df, 40, seed=1)))
+
+
+def _one_clade(df: DataFrame, tips: DataFrame) -> DataFrame:
+    top = pairs.find_mrca_id(df, tips).withColumnRenamed("mrca_id", "id")
+    sized = marks.with_parent(marks.mark_num_leaves(df, mark_as="_n"), _above="_n").join(F.broadcast(top), "id")
+    return sized.crossJoin(tips.agg(F.count(F.lit(1)).alias("_k"))).select((F.col("_n") == F.col("_k")).alias("whole"), ((F.col("_above") > 40) & (F.col("_n") <= 40)).alias("largest"))
+
+
+def _drawn(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """What must hold of a drawn sample: its tips, how many of them are tips of the tree, how many rows are the tree's, and how many have their parent."""
+    tips = marks.mark_leaves(kept, mark_as="_tip").select("id", "ancestor_id", "_tip")
+    whole = marks.mark_leaves(df, mark_as="_leaf").select("id", F.col("ancestor_id").alias("_up"), "_leaf")
+    there = kept.select(F.col("id").alias("ancestor_id"), F.lit(1).alias("_there"))
+    rows = tips.join(whole, "id", "left").join(there, "ancestor_id", "left")
+    return rows.agg(
+        F.count_if("_tip").alias("tips"),
+        F.count_if(F.col("_tip") & ~F.coalesce("_leaf", F.lit(False))).alias("tips_that_are_none"),
+        F.count_if(~F.col("ancestor_id").eqNullSafe(F.col("_up"))).alias("other_rows"),
+        F.count_if(F.col("_there").isNull()).alias("orphans"),
+    )
+
+
+_HOLDS = "SELECT {tips} AS tips, 0::BIGINT AS tips_that_are_none, 0::BIGINT AS other_rows, 0::BIGINT AS orphans"
+_FORTY = "least(40, (SELECT count(*) FROM lf))"
+query("downsample_tips_uniform", "recursive", lambda df: _drawn(df, sampling.downsample_tips_uniform(df, 40, seed=1)), _HOLDS.format(tips=_FORTY))
+# A clade's tips: its number of tips is that of a largest clade with at most 40.
+query(
+    "downsample_tips_clade",
+    "recursive",
+    lambda df: _drawn(df, sampling.downsample_tips_clade(df, 40, seed=1)).withColumn("tips", F.col("tips").between(1, 40)),
+    _HOLDS.format(tips="(SELECT count(*) BETWEEN 1 AND 40 FROM nl x JOIN t ON t.id = x.id JOIN nl p ON p.id = t.ancestor_id WHERE x.n <= 40 AND p.n > 40) IS NOT NULL"),
+)
+query(
+    "mark_sample_tips_clade_is_one_clade",
+    "recursive",
+    # The sampled tips are all tips below their common ancestor, whose parent's clade is too large.
+    lambda df: _one_clade(df, sampling.mark_sample_tips_clade(df, 40, seed=1).filter("sampled").select("id")),
+    "SELECT true AS whole, true AS largest",
+)
 query("downsample_tips_lineage_stratified", "recursive", lambda df: _edges(sampling.downsample_tips_lineage_stratified(df, criterion_stratify="event_type")))
 
 # ---------------------------------------------------------------- traits
