@@ -284,18 +284,38 @@ def wilson(successes: int, n: int, confidence: float) -> tuple[float, float]:
 
 
 def estimate_triplet_distance(
-    first: DataFrame, second: DataFrame, taxon_label_key: str, confidence: float = 0.99, precision: float = 0.01, strict: bool = True, batch: int = 10_000, seed: int = 0
-) -> tuple[float, tuple[float, float, int]]:
-    """The share of differing triplets from samples, until its Wilson interval is narrow enough: (estimate, (low, high, n))."""
+    first: DataFrame,
+    second: DataFrame,
+    taxon_label_key: str,
+    confidence: float = 0.99,
+    precision: float = 0.01,
+    strict: bool | tuple[bool, bool] = True,
+    detail: bool = False,
+    batch: int = 10_000,
+    seed: int = 0,
+) -> float | tuple[float, tuple[float, float, int]]:
+    """The share of differing triplets from samples, until its Wilson interval is narrow enough; with ``detail`` (estimate, (low, high, n)).
+
+    A polytomy counts as a difference where ``strict`` says so, for both trees
+    or for each; fewer than three leaves differ in nothing.
+    """
+    of_first, of_second = strict if isinstance(strict, tuple) else (strict, strict)
+    if mark_leaves(first, mark_as="_leaf").filter("_leaf").limit(3).count() < 3:
+        return (0.0, (0.0, 0.0, 0)) if detail else 0.0
+    a, b = F.col("triplet_code_first"), F.col("triplet_code_second")
+    differs = a != b
+    if not of_first:
+        differs = differs & (a != -1)
+    if not of_second:
+        differs = differs & (b != -1)
     wrong, n = 0, 0
     while True:
         sample = sample_triplet_comparisons(first, second, taxon_label_key, batch, seed + n)
-        match = F.col("triplet_match_strict" if strict else "triplet_match_lax")
-        got = sample.agg(F.count_if(~match).alias("wrong"), F.count(F.lit(1)).alias("n")).first()
+        got = sample.agg(F.count_if(differs).alias("wrong"), F.count(F.lit(1)).alias("n")).first()
         wrong, n = wrong + got.wrong, n + got.n
         low, high = wilson(wrong, n, confidence)
         if high - low <= precision:
-            return wrong / n, (low, high, n)
+            return (wrong / n, (low, high, n)) if detail else wrong / n
 
 
 def test_leaves_isomorphic(first: DataFrame, second: DataFrame, taxon_label: str) -> DataFrame:

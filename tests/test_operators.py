@@ -182,8 +182,12 @@ def test_triplets_quartets_and_isomorphism(spark):
     labels = {r.taxon_label: r.id for r in a.filter("taxon_label <> ''").collect()}
     assert pairs.categorize_triplet(a, [labels[x] for x in "abc"]) == 2
     assert pairs.categorize_triplet(read("(a,b,c);"), [1, 2, 3]) == -1
-    estimate, (low, high, n) = pairs.estimate_triplet_distance(a, c, "taxon_label", confidence=0.9, precision=0.05, batch=300)
+    estimate, (low, high, n) = pairs.estimate_triplet_distance(a, c, "taxon_label", confidence=0.9, precision=0.05, detail=True, batch=300)
     assert estimate == 1 and low <= 1 <= high + 1e-9 and n >= 250
+    star = read("(a,b,c,d);")
+    about = lambda x, y, strict: pairs.estimate_triplet_distance(x, y, "taxon_label", confidence=0.9, precision=0.05, strict=strict, batch=300)
+    assert (about(a, star, True), about(a, star, (True, False)), about(star, a, (True, False)), about(star, a, False)) == (1, 0, 1, 0)
+    assert pairs.estimate_triplet_distance(read("(a,b);"), read("(b,a);"), "taxon_label", detail=True) == (0.0, (0.0, 0.0, 0))
 
 
 def test_newick_reading(spark):
