@@ -6,8 +6,8 @@ from round to round (ids, then hashes), as its representative, and the edges
 between representatives are kept. Stars fall together in one round of the
 first kind, and any graph loses a share of its nodes in the mean of one of the
 second. What is left, at most ``bound`` edges of 16 bytes, is solved by one
-task. Rounds are written tables; of the graph itself only counts of edges
-reach the driver.
+task. Rounds are written tables, and joins merge: of the graph itself only
+counts of edges reach the driver.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _contracted(edges: DataFrame, turn: int, scratch: Scratch, name: str) -> tup
     chosen = F.when(rank("u") <= F.col("r"), F.col("u")).otherwise(F.col("m"))
     names = scratch.write(first.select(F.col("u").alias("id"), chosen.alias("component")), f"{name}-names-{turn}")
     # A hub's edges may fill a partition of these joins: the optimiser splits it, its one row of names is copied.
-    moved = edges.join(names.toDF("u", "x"), "u").join(names.toDF("v", "y"), "v")
+    moved = edges.join(names.toDF("u", "x").hint("merge"), "u").join(names.toDF("v", "y").hint("merge"), "v")
     return names, _distinct(moved.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -76,7 +76,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
         return out
     for before in reversed(names):
         known = out.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        out = before.join(known, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+        out = before.join(known.hint("merge"), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
     # Representatives are arbitrary members: the least member names the component.
     least = out.groupBy("component").agg(F.min("id").alias("least"))
-    return scratch.write(out.join(least, "component").select("id", F.col("least").alias("component")), f"{name}-all")
+    return scratch.write(out.join(least.hint("merge"), "component").select("id", F.col("least").alias("component")), f"{name}-all")

@@ -28,6 +28,9 @@ Stages, each cut by a written table:
 
 A large family's smallest id is one row in the joins of steps 4 and 5, whose
 other side may fill a partition: adaptive execution splits such a partition.
+All joins merge. Spark estimates a table by its compressed files and rows
+before they are exploded, so a side that passes for a small one may be many
+times the driver's memory; nothing that grows with the documents is broadcast.
 
 Defined results: null, empty and blank texts have no shingles, are linked
 with nothing and are kept. Texts of one to four words are one shingle. Rows
@@ -252,38 +255,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 500_000, mo
         F.xxhash64("band", band).alias("key"), "id", "n"
     )
     keys = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
-    members = scratch.write(rows.join(keys, "key"), "members")
-    signs = scratch.write(classes.join(members.select("id").distinct(), "id", "left_semi"), "signs")
-    sets = docs.join(signs.select("id", "doc", "set_key"), F.col("doc_id") == F.col("doc")).select("id", "set_key", "text")
+    members = scratch.write(rows.join(keys.hint("merge"), "key"), "members")
+    signs = scratch.write(classes.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "signs")
+    sets = docs.join(signs.select("id", "doc", "set_key").hint("merge"), F.col("doc_id") == F.col("doc")).select("id", "set_key", "text")
     sets = scratch.write(sets.mapInArrow(_sets, "id long, shingles binary"), "sets")
     sets = sets.dropDuplicates(["id"]) if repeated else sets
 
     # Every member of a band against the band's least; pairs stay dealt by b, of which there are as many as bands at most.
     pairs = members.filter("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).repartition("b").distinct()
-    side = lambda c: signs.select(F.col("id").alias(c), F.col("registers").alias(f"reg_{c}"), F.col("n").alias(f"n_{c}"))
+    side = lambda c: signs.select(F.col("id").alias(c), F.col("registers").alias(f"reg_{c}"), F.col("n").alias(f"n_{c}")).hint("merge")
     likely = scratch.write(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")).hint("merge")
     found = likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verified(percent), "a long, b long")
     if repeated:
-        named = shingled.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
-        tied = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+        named = shingled.select("doc_id", "set_key").join(classes.select("set_key", "id").hint("merge"), "set_key").select("doc_id", "id").distinct()
+        tied = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")).hint("merge"), "doc_id").select("a", F.col("id").alias("b"))
         found = found.unionByName(tied.filter("a < b"))
-    component = connected_components(found, scratch, "links", most_links)
+    component = connected_components(found, scratch, "links", most_links).hint("merge")
 
     # What these links leave apart within a band is compared across components.
     labelled = members.join(component, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").drop("y")
-    open_ = scratch.write(labelled.join(apart, "key"), "open")
+    open_ = scratch.write(labelled.join(apart.hint("merge"), "key"), "open")
     again = None
     if open_.limit(1).count():
         mixed = open_.filter("x < component").select(F.col("x").alias("a"), F.col("component").alias("b"))
         families = connected_components(mixed, scratch, "families", most_links).select(F.col("id").alias("component"), F.col("component").alias("family"))
-        nodes = scratch.write(open_.select("id", "n", "component").distinct().join(families, "component"), "nodes")
+        nodes = scratch.write(open_.select("id", "n", "component").distinct().join(families.hint("merge"), "component"), "nodes")
         each = nodes.groupBy("family", "component").agg(F.sum("n").alias("n"))
         # A family's largest component never asks.
         whole = each.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("all"))
         blocks = F.greatest(F.ceil(F.col("rest") / block), F.lit(1))
-        dealt = nodes.join(whole, "family").select(
+        dealt = nodes.join(scratch.write(whole, "whole").hint("merge"), "family").select(
             "id",
             "component",
             (F.col("component") != F.col("main")).alias("pivot"),
@@ -291,24 +294,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 500_000, mo
             F.greatest(F.ceil(F.col("all") * 2 / block), F.lit(1)).alias("parts"),
         )
         asking = scratch.write(dealt.filter("pivot").drop("pivot"), "asking")
-        wanted = open_.select("key", "id").join(asking.select("id", "block", "parts"), "id").select("key", "block", "parts").distinct()
-        visits = open_.select("key", "id", "component").join(wanted, "key").select("block", "id", "component", "parts").distinct()
+        wanted = open_.select("key", "id").join(asking.select("id", "block", "parts").hint("merge"), "id").select("key", "block", "parts").distinct()
+        visits = open_.select("key", "id", "component").join(wanted.hint("merge"), "key").select("block", "id", "component", "parts").distinct()
         rows = visits.select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part"), "id", "component", F.lit(False).alias("pivot"))
         rows = rows.unionByName(
             asking.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "component", F.lit(True).alias("pivot"))
         )
-        more = rows.join(sets, "id").groupBy("block", "part").applyInArrow(_across(percent), "a long, b long")
+        more = rows.join(sets.hint("merge"), "id").groupBy("block", "part").applyInArrow(_across(percent), "a long, b long")
         again = connected_components(more, scratch, "again", most_links).select(F.col("id").alias("label"), F.col("component").alias("further"))
 
     label = F.coalesce("component", "id").alias("label")
     named = classes.select("set_key", "id", "doc").join(component, "id", "left").select("set_key", "doc", label)
     if again is not None:
-        named = named.join(again, "label", "left").select("set_key", "doc", F.coalesce("further", "label").alias("label"))
+        named = named.join(again.hint("merge"), "label", "left").select("set_key", "doc", F.coalesce("further", "label").alias("label"))
     if repeated:  # numbers back to documents, and one name for all rows of a doc_id
-        named = named.join(named.groupBy("label").agg(F.min("doc").alias("least")), "label").select("set_key", F.col("least").alias("label"))
-        named = shingled.select("doc_id", "set_key").join(named, "set_key").groupBy("doc_id").agg(F.min("label").alias("label"))
+        named = named.join(named.groupBy("label").agg(F.min("doc").alias("least")).hint("merge"), "label").select("set_key", F.col("least").alias("label"))
+        named = shingled.select("doc_id", "set_key").join(named.hint("merge"), "set_key").groupBy("doc_id").agg(F.min("label").alias("label"))
     by = "doc_id" if repeated else "set_key"
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named.select(by, "label"), by, "left")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(named.select(by, "label").hint("merge"), by, "left")
     return out.select(
         "doc_id",
         "n_shingles",
@@ -320,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 500_000, mo
 def keep_one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` but for all documents of a component save the smallest doc_id."""
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

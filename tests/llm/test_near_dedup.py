@@ -104,6 +104,31 @@ def test_components_of_any_shape(spark):
     assert connected_components(df.limit(0), Scratch(spark, "test"), "none", 0).count() == 0
 
 
+def test_nothing_is_broadcast(spark):
+    """Estimates miss what explode makes of rows: a broadcast they allow may not fit in the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    rng, base = random.Random(3), prose(9, 150).split()
+    rows = [(200 + i, prose(300 + i, 60)) for i in range(20)]
+    for i in range(80):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) + str(rng.randrange(50))
+        rows.append((100 - i, " ".join(words)))
+    for more, options in (([], {}), ([], {"most_links": 5}), ([(100, prose(300, 60))], {})):  # arrays, rounds, several texts of a doc_id
+        df = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(3)
+        bus.waitUntilEmpty(30_000)
+        before = {x.executionId() for x in (store.executionsList().apply(i) for i in range(store.executionsList().size()))}
+        got = near_duplicates(df, **options).collect()
+        keep_one_of_each(df).collect()
+        bus.waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        plans = [x.physicalPlanDescription() for x in (ran.apply(i) for i in range(ran.size())) if x.executionId() not in before]
+        assert any("SortMergeJoin" in x for x in plans)
+        assert not [x for x in plans if "Broadcast" in x]
+        assert {r.doc_id: r.component_id for r in got} == components(rows + more)
+
+
 def test_empty(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
     assert keep_one_of_each(no_docs).columns == no_docs.columns
