@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from grove.functions.columns import ieee_div, is_root
 from grove.operators.pedigree import edges, has_one_parent, root, root_ids
 from grove.plans.folds import down, euler, keys, up
+from grove.plans.lookup import look_up
 from grove.plans.numbering import numbered
 
 # ---------------------------------------------------------------- one hop
@@ -36,7 +37,7 @@ def with_parent(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Join each node with columns of its parent; a root with its own."""
     k = keys(df)
     above = df.select(*k, F.col("id").alias("ancestor_id"), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
-    return df.join(above, [*k, "ancestor_id"], "left").select(*df.columns, *columns)
+    return look_up(df, above, [*k, "ancestor_id"]).select(*df.columns, *columns)
 
 
 def siblings(df: DataFrame):

@@ -73,3 +73,25 @@ def numbered(df: DataFrame, by: list[Column | str], name: str, *, sum_of: str |
         passed += row["_v"]
     known = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _offset long"))  # a row a part
     return parts.withColumn(name, place).join(known, "_part").withColumn(name, F.col(name) + F.col("_offset")).drop("_part", "_offset")
+
+
+def before_in_group(df: DataFrame, group: list[str], by: list[Column | str], name: str, *, sum_of: str) -> DataFrame:
+    """Add ``name``: the sum of a column over the rows of the same group that come before in the order of ``by``.
+
+    Rows are dealt by range of group and order, so that a group may lie in
+    several parts: what its rows in earlier parts sum up to, one number a
+    part, is added by way of the driver. ``group`` has no nulls.
+    """
+    parts, _ = cut(df.repartitionByRange(*group, *by).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part", *group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_part", F.struct(*group).alias("_g")).agg(F.coalesce(F.sum(sum_of), F.lit(0)).cast("long").alias("_v"))
+    ends = sums.groupBy("_part").agg(F.min("_g").alias("first"), F.max("_g").alias("last"), F.max_by("_v", "_g").alias("_v")).orderBy("_part")
+    offsets, open_group, passed = [], None, 0
+    for part in ends.collect():
+        begun = passed if part["first"] == open_group else 0
+        offsets.append((part["_part"], *part["first"], begun))
+        open_group, passed = part["last"], part["_v"] + (begun if part["first"] == part["last"] else 0)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
+    known = F.broadcast(df.sparkSession.createDataFrame(offsets, f"_part int, {kinds}, _offset long"))  # a row a part
+    own = F.coalesce(F.sum(sum_of).over(before), F.lit(0)).cast("long")
+    return parts.withColumn(name, own).join(known, ["_part", *group], "left").withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_part", "_offset")
