@@ -18,22 +18,29 @@ from grove.operators.marks import mark_leaves, mark_num_leaves, mask_descendants
 from grove.operators.pairs import calc_mrca_id_vector
 from grove.operators.transforms import prune_extinct_lineages
 from grove.plans.folds import keys
+from grove.plans.lookup import look_up
 from grove.plans.numbering import numbered
+from grove.plans.scratch import cut
 
 SAMPLED = "sampled"
+#: Sampled rows that each task may hold.
+FEW = 10_000
 
 
 def _best(df: DataFrame, eligible: Column, n: int, order: list[Column | str], mark_as: str, by: list[Column | str] | None = None) -> DataFrame:
     """Mark the first ``n`` eligible rows of each tree (and group); only those are ordered."""
     k = keys(df)
     some = df.filter(eligible)
-    if k or by:  # a rank below a bound is cut off before the shuffle too
+    few = n <= FEW and not (k or by)
+    if few:  # each task keeps its first ones
+        best = some.orderBy(*order).limit(n)
+    elif k or by:  # a rank below a bound is cut off before the shuffle too
         w = Window.partitionBy(*k, *(by or [])).orderBy(*order)
         best = some.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n)
     else:
         best = numbered(some, order, "_at").filter(F.col("_at") < n)
     best = best.select(*k, "id", F.lit(True).alias("_best"))
-    return df.join(best, [*k, "id"], "left").withColumn(mark_as, F.coalesce("_best", F.lit(False))).select(*(c for c in df.columns if c != mark_as), mark_as)
+    return df.join(F.broadcast(best) if few else best, [*k, "id"], "left").withColumn(mark_as, F.coalesce("_best", F.lit(False))).select(*(c for c in df.columns if c != mark_as), mark_as)
 
 
 def mark_sample_tips_uniform(df: DataFrame, n_sample: int, *, seed: int = 0, mark_as: str = SAMPLED) -> DataFrame:
@@ -60,7 +67,7 @@ def mark_sample_tips_canopy(df: DataFrame, n_sample: int | None = None, *, crite
 def mark_sample_tips_clade(df: DataFrame, n_sample: int, *, seed: int = 0, mark_as: str = SAMPLED) -> DataFrame:
     """The tips of one clade among the largest with at most ``n_sample`` tips, drawn by tip count."""
     k = keys(df)
-    sized = with_parent(mark_num_leaves(mark_leaves(df, mark_as="_leaf"), mark_as="_n"), _above="_n")
+    sized, _ = cut(with_parent(mark_num_leaves(mark_leaves(df, mark_as="_leaf"), mark_as="_n"), _above="_n"))
     small = F.col("_n") <= n_sample
     candidate = small & ((F.col("_above") > n_sample) | is_root())
     # The least of exponential waiting times with rates n: drawn in proportion to n.
@@ -83,7 +90,8 @@ def _off_lineage(df: DataFrame, seed: int, criterion_delta: str, criterion_targe
         return tips.withColumn("_delta", F.lit(None).cast("double"))
     met = calc_mrca_id_vector(df, target_id=target)
     value = df.select(F.col("id").alias("mrca_id"), F.col(criterion_delta).alias("_at"))
-    joined = tips.join(met, "id").join(value, "mrca_id", "left")
+    # Very many tips share a common ancestor with the target.
+    joined = look_up(cut(tips.join(met, "id"))[0], value, ["mrca_id"])
     return joined.withColumn("_delta", F.abs(F.col(criterion_delta) - F.col("_at"))).drop("mrca_id", "_at")
 
 
