@@ -67,12 +67,12 @@ def _lowest_above(walked: DataFrame, low: int, high: int) -> DataFrame:
     return walked.filter(over).agg(F.max_by("id", "depth").alias("mrca_id"), F.max("depth").alias("depth"))
 
 
-def _lowest_of(walked: DataFrame, asked: DataFrame) -> DataFrame:
-    """``_lowest_above`` the ids of ``asked``; null if one of them is none of the tree's."""
+def _lowest_of(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: the node of the least clade that holds all ids of ``asked``; null if one of them is none of the tree's."""
     ids = asked.select("id").distinct()
-    ends = ids.join(walked.select("id", "pre"), "id", "left").agg(F.min("pre"), F.max("pre"), F.count_if(F.col("pre").isNull())).first()
-    low, high = (-1, -1) if ends[2] or ends[0] is None else ends[:2]
-    return _lowest_above(walked, low, high)
+    marked = df.select("id", "ancestor_id").join(ids.withColumn("_asked", F.lit(1)), "id", "left")
+    held = up(marked, {"_held": ("_asked", "sum"), "_size": (F.lit(1), "sum")})
+    return held.filter(F.col("_held") == ids.count()).agg(F.min_by("id", "_size").alias("mrca_id"))
 
 
 def _walked(df: DataFrame, *more: str) -> DataFrame:
@@ -85,24 +85,23 @@ def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
 
 def find_pair_mrca_id(df: DataFrame, first: int, second: int) -> DataFrame:
     """One row; null in different trees."""
-    return _lowest_of(_walked(df), _ids(df.sparkSession, [first, second])).select("mrca_id")
+    return _lowest_of(df, _ids(df.sparkSession, [first, second]))
 
 
 def find_mrca_id(df: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
-    """The common ancestor of a set: that of its first and last members in the walk. ValueError for an empty set."""
+    """The common ancestor of a set. ValueError for an empty set."""
     asked = ids if isinstance(ids, DataFrame) else _ids(df.sparkSession, ids)
-    known = asked.select("id").join(df.select("id"), "id", "left_semi")
+    known, _ = cut(asked.select("id").join(df.select("id"), "id", "left_semi"))
     if not known.limit(1).count():
         raise ValueError("no ids to find a common ancestor of")
-    return _lowest_of(_walked(df), known).select("mrca_id")
+    return _lowest_of(df, known)
 
 
 def find_pair_distance(df: DataFrame, first: int, second: int, *, criterion: str = "origin_time") -> DataFrame:
     """One row: c(first) - c(mrca) + c(second) - c(mrca); null in different trees."""
-    walked = _walked(df, criterion)
-    met = _lowest_of(walked, _ids(df.sparkSession, [first, second])).select("mrca_id")
+    met = _lowest_of(df, _ids(df.sparkSession, [first, second]))
     value = lambda name: F.max(F.when(F.col("id") == name, F.col(criterion).cast("double")))
-    values = walked.crossJoin(F.broadcast(met)).agg(value(first).alias("a"), value(second).alias("b"), value(F.col("mrca_id")).alias("m"))  # one row
+    values = df.crossJoin(F.broadcast(met)).agg(value(first).alias("a"), value(second).alias("b"), value(F.col("mrca_id")).alias("m"))  # one row
     return values.select((F.col("a") - F.col("m") + (F.col("b") - F.col("m"))).alias("distance"))
 
 
@@ -119,11 +118,9 @@ def calc_mrca_id_vector(df: DataFrame, *, target_id: int) -> DataFrame:
     """(id, mrca_id) of every node with the target; -1 across roots. The lowest node above both."""
     if not df.filter(F.col("id") == target_id).limit(1).count():
         raise ValueError(f"no node {target_id}")
-    walked = euler(df.select("id", "ancestor_id"))
-    here = F.broadcast(walked.filter(F.col("id") == target_id).select(F.col("pre").alias("_p")))  # one row
-    over = (F.col("pre") <= F.col("_p")) & (F.col("_p") < F.col("pre") + F.col("size"))
-    marked = walked.crossJoin(here).withColumn("_on", F.when(over, F.col("id")))
-    return down(marked.select("id", "ancestor_id", "_on"), {"_m": ("_on", "last")}).select("id", F.coalesce("_m", F.lit(-1)).alias("mrca_id"))
+    above = up(df.select("id", "ancestor_id"), {"_over": (F.when(F.col("id") == target_id, 1).otherwise(0), "max")})
+    marked = above.select("id", "ancestor_id", F.when(F.col("_over") > 0, F.col("id")).alias("_on"))
+    return down(marked, {"_m": ("_on", "last")}).select("id", F.coalesce("_m", F.lit(-1)).alias("mrca_id"))
 
 
 #: Nodes of a table without tree_id whose pairs may be listed; with one, the pairs within trees may be as many.
