@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from grove.functions.columns import ieee_div, is_root
 from grove.operators.pedigree import edges, has_one_parent, root, root_ids
-from grove.plans.folds import down, euler, keys, up
+from grove.plans.folds import down, keys, up
 from grove.plans.lookup import look_up
 from grove.plans.numbering import numbered
 
@@ -231,13 +231,11 @@ def calc_clade_lookback_n(df: DataFrame, lookback_n: int, *, mark_as: str = "loo
 
 
 def unfurl_lineage(df: DataFrame, leaf_id: int) -> DataFrame:
-    """(ord, id) from a node up to its root. The path is what lies above in the walk: ancestors enclose it."""
-    numbered = euler(df.select(*keys(df), "id", "ancestor_id"))
-    leaf = numbered.filter(F.col("id") == leaf_id).select(*keys(df), F.col("pre").alias("_pre"), F.col("depth").alias("_depth"))
+    """(ord, id) from a node up to its root. The path is what has it in its clade, a chain, of which that many hang on each."""
     k = keys(df)
-    both = numbered.join(F.broadcast(leaf), k) if k else numbered.crossJoin(F.broadcast(leaf))  # one row
-    inside = (F.col("pre") <= F.col("_pre")) & (F.col("_pre") < F.col("pre") + F.col("size"))
-    return both.filter(inside).select(*k, (F.col("_depth") - F.col("depth")).alias("ord"), "id")
+    marked = up(df.select(*k, "id", "ancestor_id"), {"_over": (F.when(F.col("id") == leaf_id, 1).otherwise(0), "max")})
+    path = marked.filter("_over > 0").select(*k, "id", "ancestor_id")
+    return up(path, {"ord": (F.lit(1), "sum")}).select(*k, (F.col("ord") - 1).alias("ord"), "id")
 
 
 # ---------------------------------------------------------------- clades
