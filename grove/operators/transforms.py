@@ -16,10 +16,12 @@ from pyspark.sql.window import Window
 
 from grove.functions.columns import is_root, make_ancestor_list
 from grove.operators.checks import position, topological_sensitivity_warned
-from grove.operators.marks import mark_leaves, mark_node_depth, mark_num_children, siblings, with_parent
+from grove.operators.marks import mark_leaves, mark_node_depth, mark_num_children, with_parent
 from grove.operators.pedigree import has_one_parent, kept_of_mask, relax, root, without_unifurcations
 from grove.plans.folds import down, euler, keys, up
-from grove.plans.numbering import numbered
+from grove.plans.lookup import look_up
+from grove.plans.numbering import before_in_group, numbered
+from grove.plans.scratch import cut
 
 
 def _finish(df: DataFrame, out: DataFrame, token: str = "none") -> DataFrame:
@@ -163,19 +165,20 @@ def splay_polytomies(df: DataFrame) -> DataFrame:
     The child of rank r hangs on chain node min(r - 1, k - 2), node 0 being
     the parent and each other one hanging on the one before.
     """
-    k = keys(df)
-    wide = mark_num_children(df, mark_as="_k").filter("_k > 2")
-    links = wide.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k") - 2)))
-    links = _numbered(df, links, ["id", "_j"])
-    before = F.lag("_new").over(Window.partitionBy(*k, "id").orderBy("_j"))
-    chain = links.select(*k, F.col("id").alias("_of"), "_j", "_new", F.coalesce(before, F.col("id")).alias("_on"), *(c for c in df.columns if c not in (*k, "id", "ancestor_id")))
-    new = chain.withColumns({"id": F.col("_new"), "ancestor_id": F.col("_on")})
-    rank = F.when(is_root(), F.lit(0)).otherwise(F.row_number().over(siblings(df)))
-    counts = wide.select(*k, F.col("id").alias("ancestor_id"), "_k")
-    ranked = df.withColumn("_r", rank).join(counts, [*k, "ancestor_id"], "left")
-    ranked = ranked.withColumn("_j", F.when(is_root(), F.lit(None)).otherwise(F.least(F.col("_r") - 1, F.col("_k") - 2)))
-    places = chain.select(*k, F.col("_of").alias("ancestor_id"), "_j", F.col("_new").alias("_to"))
-    old = ranked.join(places, [*k, "ancestor_id", "_j"], "left").withColumn("ancestor_id", F.coalesce("_to", "ancestor_id"))
+    k, others = keys(df), [c for c in df.columns if c not in (*keys(df), "id", "ancestor_id")]
+    below = df.filter(~is_root()).select(*k, "id", "ancestor_id", F.lit(1).alias("_one"))
+    counts = below.groupBy(*k, "ancestor_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 2")
+    ranked = before_in_group(below, [*k, "ancestor_id"], ["id"], "_j", sum_of="_one")
+    # The child of rank j + 1 brings chain node j along, the last one none: no row is spread into many.
+    several = look_up(ranked, counts, [*k, "ancestor_id"]).filter((F.col("_k") > 2) & (F.col("_j") > 0))
+    made = several.withColumn("_makes", F.when(F.col("_j") <= F.col("_k") - 2, 1).otherwise(0))
+    largest = df.groupBy(*k).agg(F.max("id").alias("_max"))
+    made = made.join(largest, k) if k else made.crossJoin(F.broadcast(largest))  # one row
+    made, _ = cut(numbered(made, ["ancestor_id", "id"], "_to", sum_of="_makes").withColumn("_to", F.col("_max") + F.col("_to") + F.col("_makes")))
+    on = F.when(F.col("_j") == 1, F.col("ancestor_id")).otherwise(F.col("_to") - 1)
+    chain = made.filter("_makes > 0").select(*k, F.col("ancestor_id").alias("_of"), F.col("_to").alias("id"), on.alias("ancestor_id"))
+    new = look_up(chain, df.select(*k, F.col("id").alias("_of"), *others), [*k, "_of"])
+    old = df.join(made.select(*k, "id", "_to"), [*k, "id"], "left").withColumn("ancestor_id", F.coalesce("_to", "ancestor_id"))
     return _finish(df, old.select(df.columns).unionByName(new.select(df.columns)))
 
 
