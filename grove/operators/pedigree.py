@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grove.functions.columns import ANCESTOR, ID, LIST, is_root, parse_ancestor_ids
 from grove.plans.folds import down, keys
+from grove.plans.lookup import look_up
 from grove.plans.scratch import cut
 
 
@@ -45,7 +46,7 @@ def relax(df: DataFrame, start: Column, *, largest: bool = True, carry: Callable
     state, path = cut(df.select(*k, ID, start.alias("value")))
     while True:
         above = state.select(*k, F.col(ID).alias("_up"), F.col("value").alias("_above"))
-        best = links.join(above, [*k, "_up"]).groupBy(*k, ID).agg(fold(carry(F.col("_above"))).alias("_best"))
+        best = look_up(links, above, [*k, "_up"]).groupBy(*k, ID).agg(fold(carry(F.col("_above"))).alias("_best"))
         step = state.join(best, [*k, ID], "left").select(*k, ID, merge("value", "_best").alias("value"), (~merge("value", "_best").eqNullSafe(F.col("value"))).alias("_moved"))
         state, path = cut(step, drop=path)
         if not state.filter("_moved").limit(1).count():
@@ -91,11 +92,11 @@ def without_unifurcations(df: DataFrame, root_ancestor_token: str) -> DataFrame:
     counts = edges(df).groupBy(*k, F.col(ANCESTOR).alias(ID)).agg(F.count(F.lit(1)).alias("_n"))
     parents = parse_ancestor_ids(F.col(LIST))
     goes = (F.size(parents) == 1) & (F.coalesce("_n", F.lit(0)) == 1)
-    marked = df.join(counts, [*k, ID], "left").withColumns({"_goes": F.coalesce(goes, F.lit(False)), "_parents": parents})
+    marked, _ = cut(df.join(counts, [*k, ID], "left").withColumns({"_goes": F.coalesce(goes, F.lit(False)), "_parents": parents}))
     # Rows that go hang on their parent, all others are roots: a forest, whose roots are the rows that stay.
     chains = marked.select(*k, ID, F.when(F.col("_goes"), F.col("_parents")[0]).otherwise(F.col(ID)).alias(ANCESTOR))
     stays = down(chains, {"_to": (F.col(ID), "first")}).select(*k, F.col(ID).alias("_old"), "_to")
     staying = marked.filter(~F.col("_goes"))
-    links = staying.select(*k, ID, F.posexplode("_parents").alias("_at", "_old")).join(stays, [*k, "_old"])
+    links = look_up(staying.select(*k, ID, F.posexplode("_parents").alias("_at", "_old")), stays, [*k, "_old"]).filter(F.col("_to").isNotNull())
     lists = links.groupBy(*k, ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_to"))), lambda x: x["_to"]).alias("_a"))
     return staying.join(lists, [*k, ID], "left").withColumn(LIST, list_text(F.col("_a"), f"[{root_ancestor_token}]")).select(df.columns)
